@@ -101,6 +101,16 @@ class WordEncoder:
         return out
 
 
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """The worker process's encoder, whose memory of words serves all of its tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
 def encode_key(doc_id: int | None) -> bytes:
     return b"\x02" + bytes(8) if doc_id is None else b"\x01" + struct.pack(">Q", (doc_id + (1 << 63)) & ((1 << 64) - 1))
 
@@ -278,7 +288,7 @@ def write_shards(docs: DataFrame, uri: str, tokenizer_path: str | None = None, e
             if not batch.num_rows:
                 continue
             if writer is None:
-                encoder = WordEncoder(path)
+                encoder = encoder_of(path)
                 end = encoder.pack([end_id])
                 fs.create_dir(folder, recursive=True)
                 part = f"{folder}/_{uuid.uuid4().hex}.tmp"
