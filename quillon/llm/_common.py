@@ -132,3 +132,43 @@ def word_bounds(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     inside = np.concatenate(([False], ~SPACE[buffer], [False]))
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     return edges[0::2], edges[1::2]
+
+
+def hash_sample(rows: DataFrame, key: str, bound: int) -> DataFrame:
+    """About ``bound`` rows, chosen by the hash of an id and the same in every run; all if there are fewer."""
+    n = rows.count()
+    if n <= bound:
+        return rows
+    steps = 1 << 20
+    return rows.filter(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(steps)) < F.lit(int(steps * bound / n)))
+
+
+class WordMemory:
+    """Rows of a table for words: known ones from a dict, others by ``make`` and then remembered.
+
+    At most ``limit`` words are remembered; then the made ones are forgotten, which changes no result.
+    """
+
+    def __init__(self, known: dict, table: np.ndarray, make, limit: int = 300_000):
+        self.known, self.fixed, self.make, self.limit = known, len(table), make, limit
+        self.table = np.zeros((len(table) + limit + 65536, *table.shape[1:]), np.float32)
+        self.table[: len(table)] = table
+        self.made: dict = {}
+
+    def rows(self, words: list) -> np.ndarray:
+        """The words' row numbers, valid until the next call."""
+        if len(self.made) > self.limit:
+            self.made.clear()
+        known, made = self.known, self.made
+        out = [known.get(w, -1) for w in words] if known else [-1] * len(words)
+        if -1 in out:
+            new = [w for w in dict.fromkeys(w for w, i in zip(words, out) if i < 0) if w not in made]
+            for at in range(0, len(new), 65536):
+                part = new[at : at + 65536]
+                if self.fixed + len(made) + len(part) > len(self.table):
+                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+                first = self.fixed + len(made)
+                self.table[first : first + len(part)] = self.make(part)
+                made.update(zip(part, range(first, first + len(part))))
+            out = [i if i >= 0 else made[w] for w, i in zip(words, out)]
+        return np.array(out, np.int64)
