@@ -17,6 +17,18 @@ def op2_bm25_decontamination(spark, sf_dir):
     return contaminated(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op3_best_fit_packing(spark, sf_dir):
+    from .packing import pack_documents
+
+    return pack_documents(spark, documents(spark, sf_dir))
+
+
+def op4_pii_boosted_spans(spark, sf_dir):
+    from .pii import find_spans
+
+    return find_spans(spark, documents(spark, sf_dir))
+
+
 def op5_context_tree_weighting(spark, sf_dir):
     from .ctw import lm_scores
 
