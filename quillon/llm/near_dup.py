@@ -9,10 +9,13 @@ similarity of their weights, J_P, which is the plain one for equal weights. 125
 similarity of 0.8 a pair shares no band with probability 5e-5.
 
 Exact copies fold into one representative first, by a sum before the shuffle, so a large group of copies costs
-one row. In a band's bucket each member is paired with the bucket's least digest only, never with all; pairs
-are verified on the whole shingle sets (set or probability Jaccard of at least 0.8), and members that were refused
-meet again without that leader until no bucket holds two. The verified links join into
-classes by spreading least labels with pointer jumping.
+one row. Pairs of a bucket are never all made. A text's weight is the number of texts that it shares buckets with; the
+heaviest member of a bucket, the hub, is the one that most others were made from. First every member is paired with its
+buckets' hubs. Members without a link then meet the ``HUBS`` heaviest members of each of their buckets, and the
+heaviest of those that have no link either. What is still without a link, and lies in a bucket of more members than
+it met, is compared with all candidates: these few texts go out in blocks as queries, and one pass of all candidates'
+shingle sets finds every partner by an inverted index. All links are verified on the whole shingle sets (set or
+probability Jaccard of at least 0.8) and join into classes by spreading least labels with pointer jumping.
 
 Result: a row a document with its class id, the least document id of the class.
 Defined cases: null text is empty text; texts without words are alike only if equal; null ids form classes
@@ -26,13 +29,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import materialise, mix64, prefix_hash, raw_texts
 
 SHINGLE, BANDS, ROWS, LEAST = 5, 25, 5, 0.8
 COMPONENTS = BANDS * ROWS
+#: Members that a text without links meets in each bucket, and texts of a block of queries.
+HUBS, QUERIES = 4, 500
 #: Bits of the filter that spares the second pass most texts; when full it lets more through.
 FILTER_BITS = 1 << 24
 
@@ -260,35 +265,94 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
             return labels.select(F.col("x").alias("digest"), "root")
 
 
+def _pairs(left, right) -> list:
+    """Columns a and b of an unordered pair."""
+    return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
+
+
+def _against_all(spark: SparkSession, sets: DataFrame, queries: DataFrame) -> DataFrame | None:
+    """Links (a, b) of the query texts with all candidates: blocks of queries, one pass of the sets a block."""
+    n = queries.count()
+    blocks, out = -(-n // QUERIES), None
+    for k in range(blocks):
+        block = queries.filter(F.pmod(F.xxhash64("digest"), F.lit(blocks)) == k)
+        rows = [(bytes(r.digest), *_unpack(bytes(r.elements), bytes(r.weights))) for r in sets.join(block, "digest", "left_semi").collect()]
+        if not rows:
+            continue
+        sent = spark.sparkContext.broadcast(rows)
+
+        def run(batches, sent=sent):
+            rows = sent.value
+            flat, owner = np.concatenate([e for _, e, _ in rows]), np.repeat(np.arange(len(rows)), [len(e) for _, e, _ in rows])
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            keys, start = np.unique(flat, return_index=True)
+            count = np.diff(np.append(start, len(flat)))
+            for batch in batches:
+                found = []
+                for digest, elements, weights in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                    e, w = _unpack(elements, weights)
+                    at = np.minimum(np.searchsorted(keys, e), len(keys) - 1)
+                    at = at[keys[at] == e]
+                    if not len(at):
+                        continue
+                    spots = np.repeat(start[at] - (np.cumsum(count[at]) - count[at]), count[at]) + np.arange(count[at].sum())
+                    for i in np.unique(owner[spots]).tolist():
+                        if rows[i][0] != digest and max(similarity(e, w, *rows[i][1:])) >= LEAST:
+                            found.append((min(digest, rows[i][0]), max(digest, rows[i][0])))
+                yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], pa.binary()) for j in (0, 1)], ["a", "b"])
+
+        part = sets.select("digest", "elements", "weights").mapInArrow(run, "a binary, b binary")
+        out = part if out is None else out.union(part)
+    return out
+
+
+def _links(spark: SparkSession, docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Verified links (a, b), a < b, between digests."""
+    members = texts.select("digest", F.explode("bands").alias("bucket"))
+    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    met = materialise(spark, members.join(shared, "bucket"), "buckets")
+    weight = met.groupBy("digest").agg(F.sum("n").alias("weight"), F.max("n").alias("largest"))
+    met = materialise(spark, met.join(weight, "digest"), "weights")
+    sets = materialise(spark, _shingles_of(spark, docs, met.select("digest").distinct()), "shingles")
+    hubs = met.groupBy("bucket").agg(F.max_by("digest", F.struct("weight", "digest")).alias("hub"))
+    first = met.join(hubs, "bucket").filter(F.col("digest") != F.col("hub")).select(*_pairs(F.col("digest"), F.col("hub"))).distinct()
+    first = materialise(spark, _verified(first, sets), "checked")
+    links = first.filter("alike").select("a", "b")
+
+    def without_link(links):
+        ends = links.select(F.col("a").alias("digest")).union(links.select("b")).distinct()
+        return met.select("digest", "largest").distinct().join(ends, "digest", "left_anti")
+
+    alone = materialise(spark, without_link(links), "alone")
+    if alone.isEmpty():
+        return links
+    mine = met.join(alone.select("digest"), "digest", "left_semi").select("bucket", "digest", "weight")
+    order = Window.partitionBy("bucket").orderBy(F.col("weight").desc(), F.col("digest"))
+    heaviest = lambda rows: rows.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= HUBS).select("bucket", F.col("digest").alias("hub"))
+    others = heaviest(met.join(mine.select("bucket").distinct(), "bucket", "left_semi").select("bucket", "digest", "weight")).union(heaviest(mine))
+    second = mine.join(others, "bucket").filter(F.col("digest") != F.col("hub")).select(*_pairs(F.col("digest"), F.col("hub"))).distinct()
+    second = materialise(spark, _verified(second.join(first, ["a", "b"], "left_anti"), sets), "checked")
+    links = links.union(second.filter("alike").select("a", "b"))
+    left = without_link(links).filter(F.col("largest") > HUBS + 1).select("digest")
+    rest = _against_all(spark, sets, materialise(spark, left, "left"))
+    return links if rest is None else links.union(rest)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, class_size, links (of the document's text to other texts), kept (one a class)."""
+    """doc_id, class_id, class_size and kept (one document a class), with the text's digest."""
     signed = materialise(spark, signatures(docs), "signatures")
     texts = signed.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
-    members = texts.select("digest", F.explode("bands").alias("bucket"))
-    leaders = members.groupBy("bucket").agg(F.min("digest").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("bucket", "leader")
-    open_ = materialise(spark, members.join(leaders, "bucket").select("bucket", "digest", "leader"), "buckets")
-    sets = materialise(spark, _shingles_of(spark, docs, open_.select("digest").distinct()), "shingles")
-    links = None
-    while not open_.isEmpty():
-        pairs = open_.filter(F.col("digest") != F.col("leader")).select(F.col("digest").alias("a"), F.col("leader").alias("b")).distinct()
-        checked = materialise(spark, _verified(pairs, sets), "checked")
-        found = checked.filter("alike").select("a", "b")
-        links = found if links is None else links.union(found)
-        refused = checked.filter(~F.col("alike")).select(F.col("a").alias("digest"), F.col("b").alias("leader"))
-        left = open_.join(refused, ["digest", "leader"], "left_semi").select("bucket", "digest")
-        again = left.groupBy("bucket").agg(F.min("digest").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("bucket", "leader")
-        open_ = materialise(spark, left.join(again, "bucket").select("bucket", "digest", "leader"), "buckets")
+    links = materialise(spark, _links(spark, docs, texts).distinct(), "verified")
     known = texts.select("digest", "least", "copies")
-    if links is None:
-        classes = known.select("digest", F.col("least").alias("class_id"), F.col("copies").alias("class_size"), F.lit(0).cast("long").alias("links"), F.col("digest").alias("top"))
+    if links.isEmpty():
+        classes = known.select("digest", F.col("least").alias("class_id"), F.col("copies").alias("class_size"), F.col("digest").alias("top"))
     else:
-        links = links.distinct()
-        degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("digest")).agg(F.count("*").alias("links"))
         rooted = known.join(components(spark, links), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
         whole = rooted.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"), F.min(F.struct(F.col("least").isNull(), "least", "digest")).alias("top"))
-        classes = rooted.join(whole, "root").join(degree, "digest", "left").select("digest", "class_id", "class_size", F.coalesce("links", F.lit(0)).alias("links"), F.col("top.digest").alias("top"))
+        classes = rooted.join(whole, "root").select("digest", "class_id", "class_size", F.col("top.digest").alias("top"))
     kept = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("digest") == F.col("top"))
-    return signed.select("doc_id", "digest").join(classes, "digest").select("doc_id", "class_id", "class_size", "links", kept.alias("kept"), "digest")
+    return signed.select("doc_id", "digest").join(classes, "digest").select("doc_id", "class_id", "class_size", kept.alias("kept"), "digest")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
