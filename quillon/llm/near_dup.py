@@ -288,16 +288,25 @@ def _against_all(spark: SparkSession, sets: DataFrame, queries: DataFrame) -> Da
             flat, owner = flat[order], owner[order]
             keys, start = np.unique(flat, return_index=True)
             count = np.diff(np.append(start, len(flat)))
+            sizes, whole = np.array([len(e) for _, e, _ in rows]), np.array([w.sum() for _, _, w in rows])
+            weight = np.concatenate([w for _, _, w in rows])[order]
             for batch in batches:
                 found = []
                 for digest, elements, weights in zip(*(batch.column(i).to_pylist() for i in range(3))):
                     e, w = _unpack(elements, weights)
                     at = np.minimum(np.searchsorted(keys, e), len(keys) - 1)
-                    at = at[keys[at] == e]
+                    hit = np.flatnonzero(keys[at] == e)
+                    at = at[hit]
                     if not len(at):
                         continue
                     spots = np.repeat(start[at] - (np.cumsum(count[at]) - count[at]), count[at]) + np.arange(count[at].sum())
-                    for i in np.unique(owner[spots]).tolist():
+                    who, n = owner[spots], len(rows)
+                    common = np.bincount(who, minlength=n)
+                    # Bounds of both similarities: the shares of either text's shingles, and of their weights, that are common.
+                    here = np.bincount(who, np.repeat(w[hit], count[at]), n) / w.sum()
+                    there = np.bincount(who, weight[spots], n) / whole
+                    bound = np.maximum(np.minimum(common / len(e), common / sizes), np.minimum(here, there))
+                    for i in np.flatnonzero(bound >= LEAST - 1e-9).tolist():
                         if rows[i][0] != digest and max(similarity(e, w, *rows[i][1:])) >= LEAST:
                             found.append((min(digest, rows[i][0]), max(digest, rows[i][0])))
                 yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], pa.binary()) for j in (0, 1)], ["a", "b"])
