@@ -37,7 +37,7 @@ from ._common import materialise, mix64, prefix_hash, raw_texts
 SHINGLE, BANDS, ROWS, LEAST = 5, 25, 5, 0.8
 COMPONENTS = BANDS * ROWS
 #: Members that a text without links meets in each bucket, and texts of a block of queries.
-HUBS, QUERIES = 4, 500
+HUBS, QUERIES = 4, 1500
 #: Bits of the filter that spares the second pass most texts; when full it lets more through.
 FILTER_BITS = 1 << 24
 
