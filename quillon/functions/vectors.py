@@ -6,10 +6,9 @@ so they stay in the JVM and below any filter. A null argument gives null; unequa
 
 from __future__ import annotations
 
-import math
-import struct
 from enum import Enum
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -154,25 +153,21 @@ def parse_vector(text, strict: bool = True) -> Column:
 
 def shortest_float(x: float) -> str:
     """The shortest decimal that reads back as the same single-precision number, without exponent."""
-    x = struct.unpack("<f", struct.pack("<f", x))[0]
-    if math.isnan(x):
+    x = np.float32(x)
+    if np.isnan(x):
         return "NaN"
-    if math.isinf(x):
+    if np.isinf(x):
         return "inf" if x > 0 else "-inf"
-    for digits in range(1, 18):
-        s = f"{x:.{digits}g}"
-        if struct.unpack("<f", struct.pack("<f", float(s)))[0] == x:
-            break
-    from decimal import Decimal
-
-    out = format(Decimal(s), "f")
-    return out.rstrip("0").rstrip(".") if "." in out else out
+    return np.format_float_positional(x, unique=True, trim="-")
 
 
 def format_vector(vector) -> Column:
     """``[1,2.5]``: no spaces, shortest numbers. Java writes single-precision numbers otherwise, so this is a pandas UDF."""
 
+    import pandas as pd
+
     def run(s):
         return s.map(lambda v: None if v is None else "[" + ",".join(shortest_float(float(x)) for x in v) + "]")
 
-    return F.pandas_udf(run, "string", F.PandasUDFType.SCALAR)(_col(vector).cast("array<float>"))
+    run.__annotations__ = {"s": pd.Series, "return": pd.Series}  # real types: this module postpones annotations
+    return F.pandas_udf(run, "string")(_col(vector).cast("array<float>"))
