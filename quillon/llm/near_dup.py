@@ -36,8 +36,8 @@ from ._common import materialise, mix64, prefix_hash, raw_texts
 
 SHINGLE, BANDS, ROWS, LEAST = 5, 25, 5, 0.8
 COMPONENTS = BANDS * ROWS
-#: Members that a text without links meets in each bucket, and texts of a block of queries.
-HUBS, QUERIES = 4, 1500
+#: Members that a text without links meets in each bucket, and texts and bytes of a block of queries.
+HUBS, QUERIES, QUERY_BYTES = 4, 1500, 1 << 25
 #: Bits of the filter that spares the second pass most texts; when full it lets more through.
 FILTER_BITS = 1 << 24
 
@@ -272,8 +272,8 @@ def _pairs(left, right) -> list:
 
 def _against_all(spark: SparkSession, sets: DataFrame, queries: DataFrame) -> DataFrame | None:
     """Links (a, b) of the query texts with all candidates: blocks of queries, one pass of the sets a block."""
-    n = queries.count()
-    blocks, out = -(-n // QUERIES), None
+    size = sets.join(queries, "digest", "left_semi").agg(F.count("*").alias("n"), F.sum(F.length("elements").cast("long")).alias("bytes")).first()
+    blocks, out = max(-(-size.n // QUERIES), -(-(size.bytes or 0) // QUERY_BYTES)), None
     for k in range(blocks):
         block = queries.filter(F.pmod(F.xxhash64("digest"), F.lit(blocks)) == k)
         rows = [(bytes(r.digest), *_unpack(bytes(r.elements), bytes(r.weights))) for r in sets.join(block, "digest", "left_semi").collect()]

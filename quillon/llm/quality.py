@@ -9,7 +9,7 @@ the hash of their ids); ratings count only from rows whose crc32 of the id is no
 
 Grades come from the labels: 0 for quality 0, 1 for quality 1 where ``toxic`` is 1, 2 for quality 1 otherwise.
 
-Defined cases: null text is empty text (its length steps are its features); a null rating is no rating; with fewer than two grades each
+Defined cases: null text is empty text (its length steps are its features); a null rating is no rating; equal texts of equal grade count once; with fewer than two grades each
 text gets the only grade, or 0; a null id is not held out; an empty table gives no rows; other columns are not read.
 """
 
@@ -122,7 +122,7 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> Model:
-    rows = docs.select("doc_id", "text").join(F.broadcast(hash_sample(ratings, "doc_id", sample)), "doc_id").select("text", "grade", F.xxhash64("text").alias("order")).toArrow()  # bounded by the sample
+    rows = docs.select("doc_id", "text").join(F.broadcast(hash_sample(ratings, "doc_id", sample)), "doc_id").select("text", "grade").distinct().withColumn("order", F.xxhash64("text")).toArrow()  # bounded by the sample
     order = np.argsort(rows.column("order").to_numpy(), kind="stable")
     texts, grades = [(t or "").encode() for t in rows.column("text").to_pylist()], rows.column("grade").to_numpy()
     return train([texts[i] for i in order], grades[order])

@@ -12,7 +12,7 @@ Fitted on a bounded sample, about ``SAMPLE`` toxic and clean texts, chosen by th
 only from rows whose crc32 of the id is not 2 modulo 4.
 
 Defined cases: null text is empty text; a text without words gets the score of a logit below every word's (near 0); with
-no label of either kind each score is 0; a repeated label row counts as often as it occurs; a null label is no label; an empty
+no label of either kind each score is 0; equal texts of equal label count once, so repeated rows do not swell the sample; a null label is no label; an empty
 table gives no rows; other columns are not read.
 """
 
@@ -29,7 +29,7 @@ BUCKETS, DIMENSIONS, SHORTEST, LONGEST, CUT = 1 << 20, 4, 3, 6, 0.3
 #: About so many toxic and so many clean texts are fitted.
 SAMPLE = (2000, 4000)
 #: Zero vectors that each average counts besides its subwords, so a bag of few subwords decides little.
-SHRINK = 3
+SHRINK = 8
 #: Other bytes become spaces; A-Z become a-z.
 TO_WORDS = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i > 127 else 32 for i in range(256))
 
@@ -165,7 +165,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> Model:
     marked = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isNotNull() & (crc_mod("doc_id", 4) != 2))
     chosen = hash_sample(marked.filter("toxic = 1"), "doc_id", sample[0]).union(hash_sample(marked.filter("toxic = 0"), "doc_id", sample[1]))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", F.xxhash64("text").alias("order")).toArrow()  # bounded by the sample
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic").distinct().withColumn("order", F.xxhash64("text")).toArrow()  # bounded by the sample
     order = np.argsort(rows.column("order").to_numpy(), kind="stable")
     texts = [(t or "").encode() for t in rows.column("text").to_pylist()]
     toxic = rows.column("toxic").to_numpy()
