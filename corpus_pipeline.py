@@ -7,6 +7,8 @@ stages but the last give the columns of ``documents``.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm._common import documents, materialise
@@ -15,6 +17,7 @@ from quillon.llm.lang_id import keep_identified
 from quillon.llm.near_dup import one_of_each
 from quillon.llm.packing import pack_documents
 from quillon.llm.pii import redact
+from quillon.sources.ship import ship
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +45,19 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(spark, docs)
 
 
+def _shipped(stage):
+    """The stage, with the package sent to the executors first."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [("language ID", identified), ("MinHash near-dedup", deduplicated), ("benchmark decontamination", decontaminated), ("PII", redacted), ("best-fit packing", packed)]
+STAGES = [(name, _shipped(stage)) for name, stage in STAGES]
 
 #: SQL expresses neither the trained stages nor the packing; the tests hold the stages against brute force.
 ORACLE_SQL = None
