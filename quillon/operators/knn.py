@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from quillon.functions.vectors import RANKING, Metric, shown, vector_literal
 
 DEFAULT_EF, MAX_EF = 64, 10_000
-#: Query vectors that one pass over the table serves: a bound of what is broadcast.
-QUERY_BLOCK = 4096
+#: Query vectors, and their bytes, that one pass over the table serves: bounds of what is broadcast.
+QUERY_BLOCK, QUERY_BYTES = 4096, 1 << 25
 
 
 def check_ef(ef: int) -> int:
@@ -83,6 +83,7 @@ def knn_batch(spark: SparkSession, df: DataFrame, queries: list[tuple[int, list[
     """
     rows = (df if where is None else df.filter(where)).filter(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     out = None
+    block = max(1, min(block, QUERY_BYTES // (8 * max([1, *(len(v) for _, v in queries)]))))
     for at in range(0, max(1, len(queries)), block):
         part = queries[at : at + block]
         sent = spark.sparkContext.broadcast((np.array([i for i, _ in part], np.int64), np.array([v for _, v in part], float).reshape(len(part), -1)))
