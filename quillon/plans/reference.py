@@ -262,17 +262,18 @@ def post_filter_baseline(spark, d):
 
 # --- evaluation --------------------------------------------------------------------------------
 
-_HASH = (F.col("vec_id") * 2654435761) % 4294967296
+def _hash():
+    return (F.col("vec_id") * 2654435761) % 4294967296
 
 
 @query("SELECT vec_id, ntile(100) OVER (ORDER BY (vec_id * 2654435761) % 4294967296, vec_id)::INTEGER AS label FROM embeddings")
 def selectivity_labels(spark, d):
-    return E.ntile_labels(embeddings(spark, d).select("vec_id"), [_HASH, F.col("vec_id")])
+    return E.ntile_labels(embeddings(spark, d).select("vec_id"), [_hash(), F.col("vec_id")])
 
 
 @query("SELECT vec_id, ntile(7) OVER (ORDER BY (vec_id * 2654435761) % 4294967296, vec_id)::INTEGER AS label FROM embeddings")
 def selectivity_labels_scaled(spark, d):
-    return E.scaled_labels(embeddings(spark, d).select("vec_id"), [_HASH, F.col("vec_id")], 7)
+    return E.scaled_labels(embeddings(spark, d).select("vec_id"), [_hash(), F.col("vec_id")], 7)
 
 
 _TRUTH = """SELECT a.vec_id AS query_id, b.vec_id AS id, b.label, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(power(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 2), 9), b.vec_id) AS rank
