@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -53,13 +54,30 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Letters whose lower case is one letter and which compose with nothing: ASCII and Latin-1.
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_ENDING = b".,!?;:"
+
+
+def byte_letters() -> dict[int, int]:
+    """How byte-level vocabularies write bytes: printable ones as themselves, the others from U+0100 on, in order."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in own]
+    return {b: b for b in own} | {b: 256 + i for i, b in enumerate(others)}
+
+
+_BYTES = byte_letters()
+
+
 class WordEncoder:
     """Ids of whole texts by the tokenizers library, remembering words.
 
     The tokenizer of ``path`` parts text at white space before its merges, so a text's ids are its
     words' ids in order. Words are put into lower case first where the tokenizer would do so anyway and
-    the text has neither combining marks (which could compose) nor its special tokens' brackets. The memory
-    holds ``limit`` words and is emptied when full, which changes no result.
+    the text has neither combining marks (which could compose) nor its special tokens' brackets. A word of
+    Latin letters, with or without closing marks, needs no normaliser or splitter: its letters go straight to the
+    library's merges, and its closing marks are a piece of their own. Both short cuts are taken only if the tokenizer is seen
+    to agree with them. The memory holds ``limit`` words and is emptied when full, which changes no result.
     """
 
     def __init__(self, path: str, limit: int = 400_000):
@@ -72,6 +90,41 @@ class WordEncoder:
         self.by_word, self.by_lower = probe[0] == probe[1] + probe[2] + probe[3], probe[1] == probe[4]
         self.known: dict[bytes, bytes] = {}
         self.limit = limit
+        tests = ("Straße", "École", "abcdefgh", "été", "ÀÿÞ", "word", "Ñandú")
+        self.by_letters = self.by_word and self.by_lower and all(self._letters(x.encode()) == self._whole(x) and self._whole(x + ".,") == self._whole(x) + self._whole(".,") for x in tests)
+
+    def _whole(self, text: str) -> bytes:
+        return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _letters(self, word: bytes) -> bytes | None:
+        """The ids of a word of Latin letters by the merges alone; None for another word."""
+        if word.isalpha():
+            text = word.lower().decode("ascii")
+        else:
+            text = word.decode()
+            if not _LATIN.fullmatch(text):
+                return None
+            text = text.lower().encode().decode("latin-1").translate(_BYTES)
+        return self.pack([t.id for t in self.tokenizer.model.tokenize(text)])
+
+    def _word(self, word: bytes) -> bytes | None:
+        """The ids of a word that is not known, if it is one of letters and closing marks."""
+        base = word.rstrip(_ENDING)
+        if not base:
+            return None
+        ids = self.known.get(base)
+        if ids is None:
+            ids = self._letters(base)
+            if ids is None:
+                return None
+            self.known[base] = ids
+        if len(base) == len(word):
+            return ids
+        ending = word[len(base) :]
+        more = self.known.get(ending)
+        if more is None:
+            more = self.known[ending] = self._whole(ending.decode())
+        return ids + more
 
     def pack(self, ids) -> bytes:
         return array(self.width, ids).tobytes()
@@ -92,7 +145,14 @@ class WordEncoder:
             try:
                 out.append(b"".join(map(known.__getitem__, w)))
             except KeyError:
-                new = [x for x in dict.fromkeys(w) if x not in known]
+                new = []
+                for x in dict.fromkeys(w):
+                    if x not in known:
+                        ids = self._word(x) if self.by_letters else None
+                        if ids is None:
+                            new.append(x)
+                        else:
+                            known[x] = ids
                 for x, e in zip(new, self.tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)):
                     known[x] = self.pack(e.ids)
                 out.append(b"".join(map(known.__getitem__, w)))

@@ -38,6 +38,15 @@ def test_any_text(texts):
     assert [np.frombuffer(g, "<u2").tolist() for g in e.encode_batch([t.encode() for t in texts])] == [want[i][:-1] for i in range(len(texts))]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("aAbzZéÉßÑñçÿÀ÷×.,!?;:'s3$ -\u0301", max_size=25), max_size=4))
+def test_letters_and_marks(texts):
+    e = S.encoder_of(S.default_tokenizer())
+    assert e.by_letters
+    want = brute(list(enumerate(texts)))
+    assert [np.frombuffer(g, "<u2").tolist() for g in e.encode_batch([t.encode() for t in texts])] == [want[i][:-1] for i in range(len(texts))]
+
+
 def test_shards_round_trip_and_lookup(spark, tmp_path):
     rows = [(i * 3 - 7, TEXTS[i % len(TEXTS)]) for i in range(60)] + [(None, None), (None, "last one")]
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], SCHEMA + ", start int").repartition(5)
