@@ -44,18 +44,18 @@ def bags(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([len(w) + 2 for w in words], np.int64)
     sums, down = prefix_hash(np.frombuffer(data, np.uint8))
     end = np.cumsum(sizes)
-    word = np.repeat(np.arange(len(words)), sizes)
+    word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
     left = end[word] - np.arange(len(data))
     buckets, owners = [], []
     for n in range(SHORTEST, LONGEST + 1):
         at = np.flatnonzero(left >= n)
-        buckets.append(mix64((sums[at + n] - sums[at]) * down[at] + np.uint64(n)))
+        buckets.append((mix64((sums[at + n] - sums[at]) * down[at] + np.uint64(n)) & np.uint64(BUCKETS - 1)).astype(np.int32))
         owners.append(word[at])
-    buckets.append(mix64((sums[end] - sums[end - sizes]) * down[end - sizes] + np.uint64(99)))
-    owners.append(np.arange(len(words)))
+    buckets.append((mix64((sums[end] - sums[end - sizes]) * down[end - sizes] + np.uint64(99)) & np.uint64(BUCKETS - 1)).astype(np.int32))
+    owners.append(np.arange(len(words), dtype=np.int32))
     bucket, owner = np.concatenate(buckets), np.concatenate(owners)
-    order = np.argsort(owner.astype(np.int32), kind="stable")
-    return (bucket[order] & np.uint64(BUCKETS - 1)).astype(np.int32), owner[order]
+    order = np.argsort(owner, kind="stable")
+    return bucket[order], owner[order]
 
 
 class Model:
