@@ -122,7 +122,7 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> Model:
-    rows = docs.select("doc_id", "text").join(F.broadcast(hash_sample(ratings, "doc_id", sample)), "doc_id").select("text", "grade").distinct().withColumn("order", F.xxhash64("text")).toArrow()  # bounded by the sample
+    rows = docs.select("doc_id", "text").join(F.broadcast(hash_sample(ratings.distinct(), "doc_id", sample)), "doc_id").select("text", "grade").distinct().withColumn("order", F.xxhash64("text")).toArrow()  # bounded by the sample
     order = np.argsort(rows.column("order").to_numpy(), kind="stable")
     texts, grades = [(t or "").encode() for t in rows.column("text").to_pylist()], rows.column("grade").to_numpy()
     return train([texts[i] for i in order], grades[order])

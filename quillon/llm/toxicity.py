@@ -163,7 +163,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> Model:
-    marked = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isNotNull() & (crc_mod("doc_id", 4) != 2))
+    marked = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isNotNull() & (crc_mod("doc_id", 4) != 2)).distinct()  # an id that is labelled very often is one row
     chosen = hash_sample(marked.filter("toxic = 1"), "doc_id", sample[0]).union(hash_sample(marked.filter("toxic = 0"), "doc_id", sample[1]))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic").distinct().withColumn("order", F.xxhash64("text")).toArrow()  # bounded by the sample
     order = np.argsort(rows.column("order").to_numpy(), kind="stable")
