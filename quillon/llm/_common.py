@@ -39,12 +39,19 @@ def raw_texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+def slices(batches, rows: int = 512):
+    """The batches in slices of a few rows (no copy), so that what a worker makes of one stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_rows(df: DataFrame, fn, schema) -> DataFrame:
     """mapInArrow; fn takes one batch and gives one batch or None."""
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None:
+        for batch in slices(batches):
+            if (out := fn(batch)) is not None:
                 yield out
 
     return df.mapInArrow(run, schema)

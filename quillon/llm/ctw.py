@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import crc_mod, materialise, raw_texts
+from ._common import crc_mod, materialise, raw_texts, slices
 
 END = 255
 HEAD_WORD_BYTES = 64
@@ -138,7 +138,7 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
             trained.clear()
             return out
 
-        for batch in batches:
+        for batch in slices(batches):
             for raw, train in zip(raw_texts(batch), batch.column(1).to_pylist()):
                 raw = raw.lower()
                 split = raw.split()
@@ -197,7 +197,7 @@ def lm_scores(spark: SparkSession, docs: DataFrame, head: int = 100_000) -> Data
         known, tree = model.value
         log = {c: float(np.log10((c + 0.5) / below)) for c in set(known.values())}
         value = {w: log[c] for w, c in known.items()}
-        for batch in batches:
+        for batch in slices(batches):
             ids, held, rids = (batch.column(i).to_pylist() for i in (1, 2, 3))
             docs_out, tail = [], ([], [], [])
             for raw, i, h, rid in zip(raw_texts(batch), ids, held, rids):

@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WordMemory, crc_mod, hash_sample, map_rows
+from ._common import WordMemory, crc_mod, hash_sample, slices
 
-SAMPLE, WORDS, GRAMS, LONGEST = 12_000, 200_000, 200_000, 4
+SAMPLE, WORDS, GRAMS, LONGEST = 12_000, 100_000, 100_000, 4
 LETTERS = re.compile(r"[^\W\d_]+")
 UND = "und"
 
@@ -61,7 +61,7 @@ class Model:
     def memory(self) -> WordMemory:
         """The worker's memory of words: a broadcast model is one object for all tasks of a worker."""
         if not hasattr(self, "_memory"):
-            self._memory = WordMemory(self.words, self.word_log, self.unseen)
+            self._memory = WordMemory(self.words, self.word_log, self.unseen, 150_000)
         return self._memory
 
     def predict(self, text: str | None, memory: WordMemory) -> tuple[str, float]:
@@ -128,7 +128,7 @@ def identify(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE) -> Data
 
     def run(batches):
         predict = _predictor(model.value)
-        for batch in batches:
+        for batch in slices(batches):
             if batch.num_rows:
                 langs, scores = zip(*predict(batch.column(2).to_pylist()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
@@ -143,7 +143,7 @@ def keep_identified(spark: SparkSession, docs: DataFrame, least_score: float = 0
 
     def run(batches):
         predict = _predictor(model.value)
-        for batch in batches:
+        for batch in slices(batches):
             if batch.num_rows:
                 found = predict(batch.column(at).to_pylist())
                 yield batch.filter(pa.array([lang != UND and score >= least_score for lang, score in found]))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import materialise, mix64, prefix_hash, raw_texts
+from ._common import materialise, mix64, prefix_hash, raw_texts, slices
 
 SHINGLE, BANDS, ROWS, LEAST = 5, 25, 5, 0.8
 COMPONENTS = BANDS * ROWS
@@ -191,7 +191,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, bands) of every document."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             raws = raw_texts(batch)
             digests, bands = [hashlib.md5(raw).digest() for raw in raws], []
             for i in range(0, len(raws), 256):
@@ -218,7 +218,7 @@ def _shingles_of(spark: SparkSession, docs: DataFrame, wanted: DataFrame) -> Dat
 
     def run(batches):
         table = bits.value
-        for batch in batches:
+        for batch in slices(batches):
             hit = np.ones(batch.num_rows, bool)
             for i in (1, 2):
                 spot = batch.column(i).to_numpy()
@@ -239,7 +239,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     two = sets.select(F.col("digest").alias("b"), F.col("elements").alias("eb"), F.col("weights").alias("wb"))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 64):
             alike = []
             for ea, wa, eb, wb in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
                 alike.append(max(similarity(*_unpack(ea, wa), *_unpack(eb, wb))) >= LEAST)
@@ -290,7 +290,7 @@ def _against_all(spark: SparkSession, sets: DataFrame, queries: DataFrame) -> Da
             count = np.diff(np.append(start, len(flat)))
             sizes, whole = np.array([len(e) for _, e, _ in rows]), np.array([w.sum() for _, _, w in rows])
             weight = np.concatenate([w for _, _, w in rows])[order]
-            for batch in batches:
+            for batch in slices(batches, 64):
                 found = []
                 for digest, elements, weights in zip(*(batch.column(i).to_pylist() for i in range(3))):
                     e, w = _unpack(elements, weights)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialise, raw_texts
+from ._common import materialise, raw_texts, slices
 from .sstable import default_tokenizer, encoder_of
 
 CAPACITIES, OVERHEAD, SHARD = (512, 1024, 2048, 4096, 8192), 32, 5000
@@ -83,7 +83,7 @@ def token_lengths(docs: DataFrame, tokenizer_path: str | None = None) -> DataFra
     def run(batches):
         encoder = encoder_of(path)
         width = len(encoder.pack([1]))
-        for batch in batches:
+        for batch in slices(batches):
             if batch.num_rows:
                 n = [len(x) // width + 1 for x in encoder.encode_batch(raw_texts(batch))]
                 yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WordMemory, crc_mod, hash_sample, raw_texts
+from ._common import WordMemory, crc_mod, hash_sample, raw_texts, slices
 
 BUCKETS, SAMPLE = 1 << 18, 6000
 _SHAPE = bytes(65 if 65 <= i <= 90 else 97 if 97 <= i <= 122 or i > 127 else 48 if 48 <= i <= 57 else i for i in range(256))
@@ -134,7 +134,7 @@ def quality(spark: SparkSession, docs: DataFrame, ratings: DataFrame, cut: int =
 
     def run(batches):
         memory = model.value.memory()
-        for batch in batches:
+        for batch in slices(batches):
             tails = [model.value.tails(raw, memory) for raw in raw_texts(batch)]
             expected = [float(t.sum()) for t in tails]
             tail = np.array([float(t[min(cut, len(t) - 1)]) if len(t) else 0.0 for t in tails])

@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import raw_texts, scratch_uri, unsigned_crc
+from ._common import raw_texts, scratch_uri, slices, unsigned_crc
 
 MAGIC = b"QUILSST1"
 FOOTER = struct.Struct("<QQQQQQBI")
@@ -344,9 +344,7 @@ def write_shards(docs: DataFrame, uri: str, tokenizer_path: str | None = None, e
     def write(batches):
         encoder, writer, low, high = None, None, b"", b""
         fs, folder = pafs.FileSystem.from_uri(uri)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches):
             if writer is None:
                 encoder = encoder_of(path)
                 end = encoder.pack([end_id])

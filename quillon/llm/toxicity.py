@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WordMemory, crc_mod, hash_sample, mix64, prefix_hash, raw_texts
+from ._common import WordMemory, crc_mod, hash_sample, mix64, prefix_hash, raw_texts, slices
 
 BUCKETS, DIMENSIONS, SHORTEST, LONGEST, CUT = 1 << 20, 4, 3, 6, 0.3
 #: About so many toxic and so many clean texts are fitted.
@@ -178,7 +178,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: tu
 
     def run(batches):
         memory = model.value.memory()
-        for batch in batches:
+        for batch in slices(batches):
             scores = np.array([model.value.score(raw, memory) for raw in raw_texts(batch)])
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(scores, pa.float64()), pa.array((scores >= CUT).astype(np.int32), pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
