@@ -9,13 +9,15 @@ similarity of their weights, J_P, which is the plain one for equal weights. 125
 similarity of 0.8 a pair shares no band with probability 5e-5.
 
 Exact copies fold into one representative first, by a sum before the shuffle, so a large group of copies costs
-one row. Pairs of a bucket are never all made. A text's weight is the number of texts that it shares buckets with; the
-heaviest member of a bucket, the hub, is the one that most others were made from. First every member is paired with its
-buckets' hubs. Members without a link then meet the ``HUBS`` heaviest members of each of their buckets, and the
-heaviest of those that have no link either. What is still without a link, and lies in a bucket of more members than
-it met, is compared with all candidates: these few texts go out in blocks as queries, and one pass of all candidates'
-shingle sets finds every partner by an inverted index. All links are verified on the whole shingle sets (set or
-probability Jaccard of at least 0.8) and join into classes by spreading least labels with pointer jumping.
+one row. Pairs of a bucket are not all made, but two members of a bucket are either compared or already in one class. A
+text's weight is the number of texts that it shares buckets with; the heaviest member of a bucket, the hub, is the one
+that most others were made from. First every member is paired with its buckets' hubs. Then, in ``ROUNDS`` rounds, classes
+are formed from the links so far, and in each bucket that still has members of several classes, ``HUBS`` members of
+the smallest ones meet all members of other classes; whoever has met all of a bucket leaves it. What is still in a
+bucket after that, outside the class with most members there, is compared with all candidates: these texts go out in
+blocks as queries, and one pass of all candidates' shingle sets finds every partner by an inverted index. All links are
+verified on the whole shingle sets (set or probability Jaccard of at least 0.8) and join into classes by spreading
+least labels with pointer jumping.
 
 Result: a row a document with its class id, the least document id of the class.
 Defined cases: null text is empty text; texts without words are alike only if equal; null ids form classes
@@ -36,8 +38,8 @@ from ._common import materialise, mix64, prefix_hash, raw_texts, slices
 
 SHINGLE, BANDS, ROWS, LEAST = 5, 25, 5, 0.8
 COMPONENTS = BANDS * ROWS
-#: Members that a text without links meets in each bucket, and texts and bytes of a block of queries.
-HUBS, QUERIES, QUERY_BYTES = 4, 1500, 1 << 25
+#: Members of a bucket that meet all others in one round, such rounds, and texts and bytes of a block of queries.
+HUBS, ROUNDS, QUERIES, QUERY_BYTES = 4, 3, 1500, 1 << 25
 #: Bits of the filter that spares the second pass most texts; when full it lets more through.
 FILTER_BITS = 1 << 24
 
@@ -316,34 +318,43 @@ def _against_all(spark: SparkSession, sets: DataFrame, queries: DataFrame) -> Da
     return out
 
 
+def _untested(spark: SparkSession, rest: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows (bucket, digest, weight) of buckets whose members lie in several classes, with their class (root), its
+    members in the bucket (n) and the class that has most there (main)."""
+    roots = links.select(F.col("a").alias("digest"), F.col("a").alias("root")).limit(0) if links.isEmpty() else components(spark, links)
+    rooted = rest.join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    size = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    several = size.groupBy("bucket").agg(F.count("*").alias("classes"), F.max_by("root", F.struct("n", "root")).alias("main")).filter("classes > 1").drop("classes")
+    return materialise(spark, rooted.join(several, "bucket").join(size, ["bucket", "root"]).select("bucket", "digest", "weight", "root", "n", "main"), "untested")
+
+
 def _links(spark: SparkSession, docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Verified links (a, b), a < b, between digests."""
+    """Verified links (a, b), a < b, between digests: any two that share a bucket were compared or are in one class."""
     members = texts.select("digest", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     met = materialise(spark, members.join(shared, "bucket"), "buckets")
-    weight = met.groupBy("digest").agg(F.sum("n").alias("weight"), F.max("n").alias("largest"))
-    met = materialise(spark, met.join(weight, "digest"), "weights")
+    weight = met.groupBy("digest").agg(F.sum("n").alias("weight"))
+    met = materialise(spark, met.join(weight, "digest").select("bucket", "digest", "weight"), "weights")
     sets = materialise(spark, _shingles_of(spark, docs, met.select("digest").distinct()), "shingles")
     hubs = met.groupBy("bucket").agg(F.max_by("digest", F.struct("weight", "digest")).alias("hub"))
-    first = met.join(hubs, "bucket").filter(F.col("digest") != F.col("hub")).select(*_pairs(F.col("digest"), F.col("hub"))).distinct()
-    first = materialise(spark, _verified(first, sets), "checked")
-    links = first.filter("alike").select("a", "b")
-
-    def without_link(links):
-        ends = links.select(F.col("a").alias("digest")).union(links.select("b")).distinct()
-        return met.select("digest", "largest").distinct().join(ends, "digest", "left_anti")
-
-    alone = materialise(spark, without_link(links), "alone")
-    if alone.isEmpty():
-        return links
-    mine = met.join(alone.select("digest"), "digest", "left_semi").select("bucket", "digest", "weight")
-    order = Window.partitionBy("bucket").orderBy(F.col("weight").desc(), F.col("digest"))
-    heaviest = lambda rows: rows.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= HUBS).select("bucket", F.col("digest").alias("hub"))
-    others = heaviest(met.join(mine.select("bucket").distinct(), "bucket", "left_semi").select("bucket", "digest", "weight")).union(heaviest(mine))
-    second = mine.join(others, "bucket").filter(F.col("digest") != F.col("hub")).select(*_pairs(F.col("digest"), F.col("hub"))).distinct()
-    second = materialise(spark, _verified(second.join(first, ["a", "b"], "left_anti"), sets), "checked")
-    links = links.union(second.filter("alike").select("a", "b"))
-    left = without_link(links).filter(F.col("largest") > HUBS + 1).select("digest")
+    first = met.join(hubs, "bucket").filter(F.col("digest") != F.col("hub")).select("bucket", "digest", "weight", "hub")
+    pairs = first.select(*_pairs(F.col("digest"), F.col("hub"))).distinct()
+    tested = materialise(spark, _verified(pairs, sets), "checked")
+    live = _untested(spark, first.drop("hub"), tested.filter("alike").select("a", "b"))
+    order = Window.partitionBy("bucket").orderBy("n", F.col("weight").desc(), "digest")
+    for _ in range(ROUNDS):
+        others = live.filter(F.col("root") != F.col("main"))
+        if others.isEmpty():
+            break
+        hubs = others.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= HUBS).select("bucket", F.col("digest").alias("hub"), F.col("root").alias("hub_root"))
+        hubs = materialise(spark, hubs, "hubs")
+        pairs = live.join(hubs, "bucket").filter(F.col("root") != F.col("hub_root")).select(*_pairs(F.col("digest"), F.col("hub"))).distinct()
+        checked = materialise(spark, _verified(pairs.join(tested, ["a", "b"], "left_anti"), sets), "checked")
+        tested = tested.union(checked)
+        rest = live.join(hubs.select("bucket", F.col("hub").alias("digest")), ["bucket", "digest"], "left_anti").select("bucket", "digest", "weight")
+        live = _untested(spark, rest, tested.filter("alike").select("a", "b"))
+    links = tested.filter("alike").select("a", "b")
+    left = live.filter(F.col("root") != F.col("main")).select("digest").distinct()
     rest = _against_all(spark, sets, materialise(spark, left, "left"))
     return links if rest is None else links.union(rest)
 

@@ -109,6 +109,23 @@ def test_a_large_group_and_its_rest(spark):
     assert {x.doc_id: x.class_id for x in N.near_duplicates(spark, docs).collect()} == brute_classes(rows)
 
 
+def test_chains_of_versions_stay_whole(spark):
+    """Texts that each have a link elsewhere are still compared with the others of their buckets."""
+    r, rows = random.Random(11), []
+    for _ in range(16):
+        w = words(r, 200)
+        for _ in range(40):
+            w = w[16:] + words(r, 16)  # 180 of 212 shingles in common: 0.85
+            rows.append(" ".join(w))
+    r.shuffle(rows)
+    rows = list(enumerate(rows))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {}
+    for x in N.near_duplicates(spark, docs).collect():
+        got.setdefault(x.class_id, []).append(x.doc_id)
+    assert sorted(map(len, got.values())) == [40] * 16
+
+
 def test_one_of_each_keeps_columns_and_one_row(spark):
     rows = [(4, "a b c d e f g"), (2, "a b c d e f g"), (2, "a b c d e f g"), (None, "alone here"), (9, None), (7, "")]
     docs = spark.createDataFrame([(i, t, 1, "k") for i, t in rows], SCHEMA + ", rows int, _row string")
