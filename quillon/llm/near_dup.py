@@ -6,7 +6,8 @@ often they occur. ProbMinHash draws for each element the arrivals of a Poisson p
 each on a random component; a component keeps the element that arrives first. Arrivals later than the latest kept
 one cannot matter, so elements stop early. Two texts agree on a component with the probability Jaccard
 similarity of their weights, J_P, which is the plain one for equal weights. 125 components make 25 bands of 5: at a
-similarity of 0.8 a pair shares no band with probability 5e-5.
+similarity of 0.8 a pair shares no band with probability 5e-5. A text with repeated shingles has 25 more, of its shingles
+with weight 1 (the plain MinHash, which is the same for a text without repeats), so that holds for either similarity.
 
 Exact copies fold into one representative first, by a sum before the shuffle, so a large group of copies costs
 one row. Pairs of a bucket are not all made, but two members of a bucket are either compared or already in one class. A
@@ -158,6 +159,16 @@ def band_hashes(kept: np.ndarray) -> np.ndarray:
     return mix64((rows * _STEP[None, :ROWS]).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
+def all_bands(sets: list[tuple[np.ndarray, np.ndarray]]) -> list[list[int]]:
+    """The bands of each weighted set and, where an element repeats, of the plain set too; both share their buckets."""
+    out = [band_hashes(kept).tolist() if len(e) else [] for (e, _), kept in zip(sets, prob_minhash_many(sets))]
+    repeats = [i for i, (e, w) in enumerate(sets) if len(e) and w.max() > 1]
+    plain = prob_minhash_many([(sets[i][0], np.ones(len(sets[i][0]), np.int64)) for i in repeats])
+    for i, kept in zip(repeats, plain):
+        out[i] = list(dict.fromkeys(out[i] + band_hashes(kept).tolist()))
+    return out
+
+
 def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> tuple[float, float]:
     """(set Jaccard, probability Jaccard) of two sorted sets with weights."""
     both, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
@@ -198,7 +209,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             digests, bands = [hashlib.md5(raw).digest() for raw in raws], []
             for i in range(0, len(raws), 256):
                 sets = shingle_sets(raws[i : i + 256])
-                bands += [band_hashes(kept).tolist() if len(e) else [] for (e, _), kept in zip(sets, prob_minhash_many(sets))]
+                bands += all_bands(sets)
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "digest", "bands"])
 
     return docs.select("text", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, digest binary, bands array<long>")
@@ -251,8 +262,29 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a binary, b binary, alike boolean")
 
 
-def components(spark: SparkSession, links: DataFrame) -> DataFrame:
-    """(digest, root): least digest reachable over links (a, b); only digests with links."""
+def _joined(links: pa.Table) -> pa.Table:
+    """The result of components for few links."""
+    a, b = (links.column(k).to_pylist() for k in ("a", "b"))
+    root = {x: x for x in a + b}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for x, y in zip(a, b):
+        x, y = find(x), find(y)
+        root[max(x, y)] = min(x, y)
+    return pa.table({"digest": pa.array(list(root), pa.binary()), "root": pa.array([find(x) for x in root], pa.binary())})
+
+
+def components(spark: SparkSession, links: DataFrame, few: int = 200_000) -> DataFrame:
+    """(digest, root): least digest reachable over links (a, b); only digests with links. Up to ``few`` links are
+    joined on the driver, which saves the rounds of small jobs and gives the same roots."""
+    links = materialise(spark, links.select("a", "b").distinct(), "pairs")
+    if links.count() <= few:
+        return materialise(spark, spark.createDataFrame(_joined(links.toArrow()), "digest binary, root binary"), "roots")
     ends = links.select(F.col("a").alias("x"), F.col("b").alias("y"))
     ends = materialise(spark, ends.union(ends.select("y", "x")).distinct(), "links")
     labels = materialise(spark, ends.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("root")), "labels")

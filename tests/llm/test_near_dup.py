@@ -126,6 +126,25 @@ def test_chains_of_versions_stay_whole(spark):
     assert sorted(map(len, got.values())) == [40] * 16
 
 
+def test_equal_sets_share_bands_whatever_repeats():
+    r = random.Random(5)
+    for _ in range(40):
+        e = N.shingles(" ".join(words(r, 204)).encode())[0]
+        w = np.ones(len(e), np.int64)
+        w[r.sample(range(len(e)), 20)] = 20
+        assert N.similarity(e, w, e, np.ones_like(w))[0] == 1
+        one, two = N.all_bands([(e, w), (e, np.ones_like(w))])
+        assert len(set(one) & set(two)) == N.BANDS
+
+
+def test_few_links_join_as_many(spark):
+    r = random.Random(9)
+    rows = [tuple(sorted((bytes([r.randrange(200)]), bytes([r.randrange(200)])))) for _ in range(150)]
+    links = spark.createDataFrame([x for x in rows if x[0] != x[1]], "a binary, b binary")
+    got = [{bytes(x.digest): bytes(x.root) for x in N.components(spark, links, few).collect()} for few in (1000, 0)]
+    assert got[0] == got[1]
+
+
 def test_one_of_each_keeps_columns_and_one_row(spark):
     rows = [(4, "a b c d e f g"), (2, "a b c d e f g"), (2, "a b c d e f g"), (None, "alone here"), (9, None), (7, "")]
     docs = spark.createDataFrame([(i, t, 1, "k") for i, t in rows], SCHEMA + ", rows int, _row string")
