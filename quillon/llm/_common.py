@@ -39,11 +39,21 @@ def raw_texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
-def slices(batches, rows: int = 512):
-    """The batches in slices of a few rows (no copy), so that what a worker makes of one stays small."""
+def _halves(batch, size: int):
+    if batch.num_rows < 2 or batch.nbytes <= size:
+        yield batch
+    else:
+        half = batch.num_rows // 2
+        yield from _halves(batch.slice(0, half), size)
+        yield from _halves(batch.slice(half), size)
+
+
+def slices(batches, rows: int = 512, size: int = 1 << 24):
+    """The batches in slices of a few rows and bytes (no copy), so that what a worker makes of one stays small; a row is
+    never split."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+            yield from _halves(batch.slice(at, rows), size)
 
 
 def map_rows(df: DataFrame, fn, schema) -> DataFrame:

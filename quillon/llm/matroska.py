@@ -8,7 +8,9 @@ variable-length elements, including unknown sizes, Void, and Xiph, EBML and fixe
 too, into packets (track, timestamp, offset, size, keyframe), clusters and cues.
 
 Defined cases: null text is empty text, which is stored as 64 zero bytes; equal texts give equal
-values; an empty table gives no rows; a file that breaks off raises ``ValueError``.
+values; a null id is kept; repeated rows return as often as they occur; a very long text is one file of several clusters (at
+most 2 GB, Spark's bound of a binary value); an empty table gives no rows; other columns are not read; a file that breaks off
+or is damaged raises ``ValueError``.
 """
 
 from __future__ import annotations
@@ -211,7 +213,10 @@ def demux(data: bytes) -> Parsed:
             at = stop
         return at
 
-    walk(0, len(data), 0, {})
+    try:
+        walk(0, len(data), 0, {})
+    except (struct.error, IndexError, UnicodeDecodeError) as e:
+        raise ValueError(f"broken off or not Matroska: {e}") from e
     return out
 
 

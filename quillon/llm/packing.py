@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ._common import materialise, raw_texts, slices
 from .sstable import default_tokenizer, encoder_of
 
-CAPACITIES, OVERHEAD, SHARD = (512, 1024, 2048, 4096, 8192), 32, 5000
+CAPACITIES, OVERHEAD, SHARD, STRETCH = (512, 1024, 2048, 4096, 8192), 32, 5000, 1000
 SCHEMA = "bin_id long, capacity int, used int, doc_id long, copy int, piece int, start long, length int, bin_offset int"
 
 
@@ -96,8 +96,11 @@ def pack_documents(spark: SparkSession, docs: DataFrame, capacities: tuple = CAP
     most = max(capacities)
     counted = token_lengths(docs, tokenizer_path).groupBy("doc_id", "n_tokens").agg(F.count("*").alias("copies"))
     counted = materialise(spark, counted, "lengths")
+    # Copies are made in stretches, dealt out first: a row that occurs very often is not unfolded in one task.
+    stretches = counted.withColumn("stretch", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / STRETCH).cast("int")))).repartition("doc_id", "n_tokens", "stretch")
+    least = F.col("stretch") * STRETCH
     pieces = (
-        counted.withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))))
+        stretches.withColumn("copy", F.explode(F.sequence(least, F.least(least + STRETCH, F.col("copies")).cast("int") - 1)))
         .withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_tokens") - 1) / most).cast("int"))))
         .withColumn("start", F.col("piece").cast("long") * most)
         .withColumn("length", F.least(F.lit(most), F.col("n_tokens") - F.col("start")).cast("int"))

@@ -9,8 +9,10 @@ the hash of their ids); ratings count only from rows whose crc32 of the id is no
 
 Grades come from the labels: 0 for quality 0, 1 for quality 1 where ``toxic`` is 1, 2 for quality 1 otherwise.
 
-Defined cases: null text is empty text (its length steps are its features); a null rating is no rating; equal texts of equal grade count once; with fewer than two grades each
-text gets the only grade, or 0; a null id is not held out; an empty table gives no rows; other columns are not read.
+Defined cases: null text is empty text (its length steps are its features); a null rating is no rating; equal texts of equal grade count once; of the texts of
+one id the least counts; with fewer than two grades each text gets the only grade, or 0; a null id is not held out and has no
+rating; repeated rows return as often as they occur, with equal values; ties do not matter, as each text is scored alone; very
+long texts are whole bags, a batch of them is small; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -122,7 +124,10 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> Model:
-    rows = docs.select("doc_id", "text").join(F.broadcast(hash_sample(ratings.distinct(), "doc_id", sample)), "doc_id").select("text", "grade").distinct().withColumn("order", F.xxhash64("text")).toArrow()  # bounded by the sample
+    chosen = F.broadcast(hash_sample(ratings.distinct(), "doc_id", sample))
+    # One text an id and grade, whatever repeats, so the rows are bounded by the sample.
+    one = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
+    rows = one.select("text", "grade").distinct().withColumn("order", F.xxhash64("text")).toArrow()
     order = np.argsort(rows.column("order").to_numpy(), kind="stable")
     texts, grades = [(t or "").encode() for t in rows.column("text").to_pylist()], rows.column("grade").to_numpy()
     return train([texts[i] for i in order], grades[order])

@@ -17,8 +17,8 @@ order is id order; a null id has a tag of its own and comes last. A value is the
 unsigned integers, of two bytes where the vocabulary permits, else four.
 
 Defined cases: null text is empty text (only the end id is written); null ids sort last; repeated ids
-stay as repeated entries in the order of their texts' hashes; an empty table gives no shard and no
-row; other columns are not read. Files are written under a temporary name and moved into place, so a
+stay as repeated entries in the order of their texts' hashes; a very long text is one entry, read and written
+as a whole, and alone in its batch; an empty table gives no shard and no row; other columns are not read. Files are written under a temporary name and moved into place, so a
 task that is run again after a lost executor leaves whole files only.
 """
 
@@ -89,6 +89,7 @@ class WordEncoder:
         probe = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("Ab CD.\nx", "Ab", "CD.", "x", "ab")]
         self.by_word, self.by_lower = probe[0] == probe[1] + probe[2] + probe[3], probe[1] == probe[4]
         self.known: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {}  # letters only, so whatever else was met cannot be taken for one
         self.limit = limit
         tests = ("Straße", "École", "abcdefgh", "été", "ÀÿÞ", "word", "Ñandú")
         self.by_letters = self.by_word and self.by_lower and all(self._letters(x.encode()) == self._whole(x) and self._whole(x + ".,") == self._whole(x) + self._whole(".,") for x in tests)
@@ -109,18 +110,20 @@ class WordEncoder:
 
     def _word(self, word: bytes) -> bytes | None:
         """The ids of a word that is not known, if it is one of letters and closing marks."""
-        base = word.rstrip(_ENDING)
-        if not base:
+        stem = word.rstrip(_ENDING)
+        if not stem:
             return None
-        ids = self.known.get(base)
+        if len(stem) == len(word):
+            return self._letters(word)
+        ids = self.stems.get(stem)
         if ids is None:
-            ids = self._letters(base)
+            ids = self._letters(stem)
             if ids is None:
                 return None
-            self.known[base] = ids
-        if len(base) == len(word):
-            return ids
-        ending = word[len(base) :]
+            if len(self.stems) >= self.limit:
+                self.stems.clear()
+            self.stems[stem] = ids
+        ending = word[len(stem) :]
         more = self.known.get(ending)
         if more is None:
             more = self.known[ending] = self._whole(ending.decode())
