@@ -14,11 +14,12 @@ words after a last ``answer:``, else its last quarter of words), and both must o
 ``OVERLAP``.
 
 Items are indexed in blocks of ``ITEMS`` at most, one pass of broadcast each, so the broadcast is bounded whatever the
-benchmark's size.
+benchmark's size. The figures of BM25 are those of all items in every block.
 
-Defined cases: null text is empty text; items without words are never met; items with the same text are each reported; a null
-id is kept as it is; no items means no hits; an empty table gives no rows; other columns are not read
-(the filter keeps them).
+Defined cases: null text is empty text; items without words are never met; items with the same text are each reported, so ties
+stay side by side; a null id is kept as it is; repeated rows return as often as they occur; a very long text is cut into passages
+like any other, all of them searched; no items means no hits; an empty table gives no rows; other columns are not read
+(the filter keeps them, whatever their names).
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import slices
+from ._common import materialise, slices
 
 K1, B, BLOCK, ITEMS, THRESHOLD, SLACK, OVERLAP, GRAM = 1.2, 0.75, 16, 20_000, 0.5, 0.2, 0.5, 3
 _WORD = re.compile(r"\w+")
@@ -58,19 +60,33 @@ def question_answer(text: str) -> tuple[list[str], list[str]]:
     return words[: len(words) - n], words[len(words) - n :]
 
 
+@dataclass
+class Figures:
+    """What BM25 needs to know of all items: their number, words, longest length, and in how many of them a term occurs."""
+
+    items: int
+    words: int
+    longest: int
+    within: dict
+
+    @classmethod
+    def of(cls, items: list[list[str]]) -> Figures:
+        return cls(len(items), sum(map(len, items)), max(map(len, items), default=0), Counter(t for w in items for t in set(w)))
+
+
 class Index:
-    """The inverted index of one block of items, [(item id, text)]."""
+    """The inverted index of one block of items, [(item id, text)], with the figures of all blocks."""
 
-    def __init__(self, items: list[tuple]):
+    def __init__(self, items: list[tuple], figures: Figures | None = None):
         items = [(i, t, w) for i, t in items if (w := words_of(t))]
+        figures = figures or Figures.of([w for _, _, w in items])
         self.ids = [i for i, _, _ in items]
         self.halves = [tuple(grams(x) for x in question_answer(t)) for _, t, _ in items]
-        self.length = max([len(w) for _, _, w in items], default=0)
-        mean = sum(len(w) for _, _, w in items) / max(1, len(items))
+        self.length = figures.longest
+        mean = figures.words / max(1, figures.items)
         tf = [Counter(w) for _, _, w in items]
-        df = Counter(t for c in tf for t in c)
-        self.terms = {t: k for k, t in enumerate(sorted(df))}
-        idf = {t: float(np.log(1 + (len(items) - n + 0.5) / (n + 0.5))) for t, n in df.items()}
+        self.terms = {t: k for k, t in enumerate(sorted({t for c in tf for t in c}))}
+        idf = {t: float(np.log(1 + (figures.items - figures.within[t] + 0.5) / (figures.within[t] + 0.5))) for t in self.terms}
         postings: list[list] = [[] for _ in self.terms]
         for i, c in enumerate(tf):
             norm = K1 * (1 - B + B * sum(c.values()) / mean)
@@ -204,13 +220,41 @@ class Index:
         return [[(self.ids[i], *found_[i]) for i in sorted(found_)] for found_ in found]
 
 
+def _figures(items: DataFrame) -> tuple[Figures, DataFrame]:
+    """Figures of all items, and (block, term, within) of the column ``block``'s terms, counted in Spark."""
+    tokens = items.select("block", "text")
+
+    def run(batches):
+        for batch in slices(batches):
+            rows = [(b, t, int(k == 0), len(w), len(w)) for b, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (w := words_of(text)) for k, t in enumerate(sorted(set(w)))]
+            cols = list(zip(*rows)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["block", "term", "first", "words", "longest"])
+
+    found = tokens.mapInArrow(run, "block long, term string, first long, words long, longest long")
+    one = found.filter("first = 1").agg(F.sum("first").alias("n"), F.sum("words").alias("words"), F.max("longest").alias("longest")).first()
+    own = found.groupBy("block", "term").agg(F.count("*").alias("n"))
+    within = own.groupBy("term").agg(F.sum("n").alias("within"))
+    return Figures(one.n or 0, one.words or 0, one.longest or 0, {}), own.join(within, "term").select("block", "term", "within")
+
+
 def index_blocks(spark: SparkSession, items: DataFrame, size: int = ITEMS):
-    """Indexes of at most about ``size`` items, one at a time, by the hash of id and text."""
+    """Indexes of at most about ``size`` items, one at a time, by the hash of id and text.
+
+    Document frequencies, the number of items, mean and longest length are those of all items, so the blocks change no score. With one
+    block its own figures are those of all items.
+    """
     n = items.count()
     blocks = max(1, -(-n // size))
+    dealt = items.select("item_id", "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).alias("block"))
+    figures = None
+    if blocks > 1:
+        whole, terms = _figures(dealt)
+        terms = materialise(spark, terms.repartition("block"), "terms")
     for k in range(blocks):
-        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        yield Index(sorted(((r.item_id, r.text) for r in part.select("item_id", "text").collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")))
+        rows = sorted(((r.item_id, r.text) for r in dealt.filter(F.col("block") == k).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+        if blocks > 1:  # the block's own terms only: bounded by its items
+            figures = Figures(whole.items, whole.words, whole.longest, {r.term: r.within for r in terms.filter(F.col("block") == k).collect()})
+        yield Index(rows, figures)
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, size: int = ITEMS) -> DataFrame:

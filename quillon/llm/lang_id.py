@@ -5,28 +5,49 @@ n-grams of these words (1 to 4 letters, with marks at both ends). A known word s
 language. A word that was not seen falls back to its 4-grams; if none of them is known to its 3-grams, and so on; its
 score is the mean over the known ones. A text's scores add up to a posterior through the languages' shares.
 
-The labelled texts are sampled by the hash of their ids down to about ``SAMPLE`` documents, a documented bound on what is
-fitted; the sample bounds the model (at most ``WORDS`` words and ``GRAMS`` n-grams, the most frequent ones).
-
-Defined cases: a text that is null or has no letter is ``und`` with score 0; with no labelled row every text is ``und``;
-ties go to the language first in order of its code; a null id is not held out; an empty table gives no rows; other columns are not read
-(the filter keeps them). Language labels, source and id are never inputs of a prediction.
+The labelled texts are sampled by the hash of their ids down to about ``SAMPLE`` documents of each language, a documented bound
+on what is fitted, so a rare language is not drowned by a frequent one. All words and n-grams of the sample are kept, however
+rare; they lie in sorted arrays of 64-bit hashes, a few bytes each.
+
+Defined cases: a text that is null or has no letter (Unicode's category L) is ``und`` with score 0; with no labelled row every
+text is ``und``; ties go to the language first in order of its code; a null id is not held out; repeated rows return as often as they
+occur, and repeated labelled rows count once; a very long text is scored as a whole; an empty table gives no rows; other columns are
+not read (the filter keeps them). Language labels, source and id are never inputs of a prediction.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WordMemory, crc_mod, hash_sample, slices
+from ._common import WordMemory, crc_mod, slices
+
+SAMPLE, LONGEST = 3000, 4
+
+
+def _letters() -> re.Pattern:
+    """Runs of Unicode letters: what ``re`` calls a word, less digits and the number signs among them (as \u00bd or \u2167)."""
+    other = [c for c in range(128, sys.maxunicode + 1) if chr(c).isalnum() and not chr(c).isdecimal() and unicodedata.category(chr(c))[0] != "L"]
+    spans, at = [], 0
+    while at < len(other):
+        end = at
+        while end + 1 < len(other) and other[end + 1] == other[end] + 1:
+            end += 1
+        spans.append(f"\\U{other[at]:08x}-\\U{other[end]:08x}")
+        at = end + 1
+    return re.compile(rf"[^\W\d_{''.join(spans)}]+")
 
-SAMPLE, WORDS, GRAMS, LONGEST = 12_000, 100_000, 100_000, 4
-LETTERS = re.compile(r"[^\W\d_]+")
+
+LETTERS = _letters()
 UND = "und"
 
 
@@ -42,26 +63,58 @@ def grams_of(word: str, n: int) -> list[str]:
     return [w[i : i + n] for i in range(len(w) - n + 1)]
 
 
+def key_of(word: str) -> int:
+    return xxhash.xxh64_intdigest(word.encode())
+
+
+class Table:
+    """Log frequencies by hashed key: sorted hashes, and a row of the languages for each."""
+
+    def __init__(self, keys, rows: np.ndarray):
+        hashed = np.fromiter((key_of(str(k)) for k in keys), np.uint64, len(keys))
+        order = hashed.argsort()
+        self.keys, self.rows = hashed[order], np.asarray(rows, np.float32)[order]
+
+    def places(self, words: list[str]) -> np.ndarray:
+        """Row numbers, -1 for a key that is not known."""
+        if not len(self.keys):
+            return np.full(len(words), -1, np.int64)
+        hashed = np.array([key_of(w) for w in words], np.uint64)
+        at = np.minimum(np.searchsorted(self.keys, hashed), len(self.keys) - 1)
+        return np.where(self.keys[at] == hashed, at, -1)
+
+
 class Model:
     """Log frequencies of words and n-grams for every language."""
 
-    def __init__(self, langs: list[str], prior: np.ndarray, words: dict, word_log: np.ndarray, grams: dict, gram_log: np.ndarray):
-        self.langs, self.prior, self.words, self.word_log, self.grams, self.gram_log = langs, prior, words, word_log, grams, gram_log
+    def __init__(self, langs: list[str], prior: np.ndarray, words: Table, grams: Table):
+        self.langs, self.prior, self.words, self.grams = langs, prior, words, grams
 
-    def unseen(self, words: list[str]) -> np.ndarray:
+    def rows_of(self, words: list[str]) -> np.ndarray:
+        """A row of scores for each word: its own if it is known, else its n-grams'."""
         out = np.zeros((len(words), len(self.langs)), np.float32)
-        for i, w in enumerate(words):
-            for n in range(LONGEST, 0, -1):
-                found = [j for g in grams_of(w, n) if (j := self.grams.get(g)) is not None]
-                if found:
-                    out[i] = self.gram_log[found].mean(0)
-                    break
+        at = self.words.places(words)
+        out[at >= 0] = self.words.rows[at[at >= 0]]
+        left = np.flatnonzero(at < 0)
+        for n in range(LONGEST, 0, -1):  # the longest n-grams of which any is known
+            grams = [grams_of(words[i], n) for i in left.tolist()]
+            size = [len(g) for g in grams]
+            place = self.grams.places([g for one in grams for g in one])
+            owner = np.repeat(np.arange(len(left)), size)
+            known = place >= 0
+            count = np.bincount(owner[known], minlength=len(left))
+            for j in range(len(self.langs)):
+                total = np.bincount(owner[known], self.grams.rows[place[known], j], len(left))
+                out[left[count > 0], j] = (total / np.maximum(count, 1))[count > 0]
+            left = left[count == 0]
+            if not len(left):
+                break
         return out
 
     def memory(self) -> WordMemory:
         """The worker's memory of words: a broadcast model is one object for all tasks of a worker."""
         if not hasattr(self, "_memory"):
-            self._memory = WordMemory(self.words, self.word_log, self.unseen, 150_000)
+            self._memory = WordMemory({}, np.zeros((0, len(self.langs)), np.float32), self.rows_of, 150_000)
         return self._memory
 
     def predict(self, text: str | None, memory: WordMemory) -> tuple[str, float]:
@@ -74,21 +127,37 @@ class Model:
         return self.langs[best], float(share[best] / share.sum())
 
 
-def _log_table(counts: dict, langs: list[str], most: int) -> tuple[dict, np.ndarray]:
-    """The most frequent keys and their smoothed log frequencies."""
-    keys = sorted(counts, key=lambda k: (-sum(counts[k].values()), k))[:most]
-    n = np.array([[counts[k].get(lang, 0) for lang in langs] for k in keys], float).reshape(len(keys), len(langs))
-    total = np.array([sum(c.get(lang, 0) for c in counts.values()) for lang in langs])
-    return {k: i for i, k in enumerate(keys)}, np.log((n + 0.1) / (total + 0.1 * (len(counts) + 1))).astype(np.float32)
+def _log_table(counts: pa.Table, langs: list[str]) -> Table:
+    """Smoothed log frequencies of all keys in (lang, key, n)."""
+    if not counts.num_rows:
+        return Table([], np.zeros((0, len(langs))))
+    keys = counts.column("key").combine_chunks().dictionary_encode()
+    lang = pc.index_in(counts.column("lang"), pa.array(langs)).to_numpy()
+    n = np.zeros((len(keys.dictionary), len(langs)))
+    np.add.at(n, (keys.indices.to_numpy(), lang), counts.column("n").to_numpy())
+    return Table(keys.dictionary, np.log((n + 0.1) / (n.sum(0) + 0.1 * (len(n) + 1))))
+
+
+def _sampled(labelled: DataFrame, sample: int) -> DataFrame:
+    """About ``sample`` rows of each language, by the hash of the id."""
+    sizes = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row a language
+    large = {lang: n for lang, n in sizes.items() if n > sample}
+    if not large:
+        return labelled
+    steps = 1 << 20
+    cut = F.create_map(*[F.lit(x) for lang, n in sorted(large.items()) for x in (lang, int(steps * sample / n))])
+    return labelled.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(steps)) < F.coalesce(cut[F.col("lang")], F.lit(steps)))
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """A model of the labelled texts whose crc32 of the id is not 0 modulo 5."""
     labelled = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", 5) != 0))
+    # Equal texts of one language count once, so an id that repeats very often does not swell the sample.
+    chosen = _sampled(labelled, sample).select("text", "lang").distinct()
 
     def count(batches):
         words, grams, seen = defaultdict(Counter), defaultdict(Counter), Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words[lang].update(words_of(text))
                 seen[lang] += 1
@@ -103,17 +172,13 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
         for i in range(0, len(rows), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 100_000]), (pa.int8(), pa.string(), pa.string(), pa.int64()))], ["kind", "lang", "key", "n"])
 
-    sums = hash_sample(labelled, "doc_id", sample).select("text", "lang").mapInArrow(count, "kind byte, lang string, key string, n long").groupBy("kind", "lang", "key").agg(F.sum("n").alias("n"))
-    tables: list = [defaultdict(dict), defaultdict(dict), defaultdict(dict)]
-    found = sums.filter((F.col("kind") > 0) | (F.col("n") > 1)).toArrow()  # bounded by the sample
-    for kind, lang, key, n in zip(*(found.column(i).to_pylist() for i in range(4))):
-        tables[kind][key][lang] = n
-    seen = tables[2].get("", {})
+    sums = chosen.mapInArrow(count, "kind byte, lang string, key string, n long").groupBy("kind", "lang", "key").agg(F.sum("n").alias("n"))
+    found = sums.toArrow()  # bounded by the sample
+    words, grams, seen = (found.filter(pc.equal(found.column("kind"), k)) for k in range(3))
+    seen = dict(zip(seen.column("lang").to_pylist(), seen.column("n").to_pylist()))
     langs = sorted(seen)
     prior = np.log(np.array([seen[x] for x in langs], float) / max(1, sum(seen.values()))) if langs else np.zeros(0)
-    words, word_log = _log_table(tables[0], langs, WORDS)
-    grams, gram_log = _log_table(tables[1], langs, GRAMS)
-    return Model(langs, prior, words, word_log, grams, gram_log)
+    return Model(langs, prior, _log_table(words, langs), _log_table(grams, langs))
 
 
 def _predictor(model):

@@ -32,11 +32,20 @@ def test_language_held_out_and_edges(spark):
 
 
 def test_backoff_goes_to_shorter_grams():
-    model = L.Model(["a", "b"], np.zeros(2), {"abc": 0}, np.array([[-1, -5]], np.float32), {"<xyz": 0, "yz": 1, "z": 2, "q": 3}, np.array([[-1, -9], [-2, -8], [-3, -7], [-4, -6]], np.float32))
-    assert model.unseen(["xyz", "yz", "mz", "q", "é"]).tolist() == [[-1, -9], [-2, -8], [-3, -7], [-4, -6], [0, 0]]
+    model = L.Model(["a", "b"], np.zeros(2), L.Table(["abc"], [[-1, -5]]), L.Table(["<xyz", "yz", "z", "q"], [[-1, -9], [-2, -8], [-3, -7], [-4, -6]]))
+    assert model.rows_of(["xyz", "yz", "mz", "q", "é", "abc"]).tolist() == [[-1, -9], [-2, -8], [-3, -7], [-4, -6], [0, 0], [-1, -5]]
     assert model.predict("ABC", model.memory())[0] == "a" and model.predict("5", model.memory()) == ("und", 0.0)
 
 
+def test_letters_by_category():
+    import unicodedata
+
+    assert L.words_of("½ ² Ⅷ ① 5 _ ٣ Straße日本 aª·é") == ["straße日本", "aª", "é"]
+    for c in map(chr, range(0x3000)):
+        if c.lower() == c:
+            assert bool(L.words_of(c)) == unicodedata.category(c).startswith("L"), hex(ord(c))
+
+
 def test_word_memory_forgets_without_changing_results():
     from quillon.llm._common import WordMemory
 
