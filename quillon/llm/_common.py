@@ -175,3 +175,38 @@ class WordMemory:
                 made.update(zip(part, range(first, first + len(part))))
             out = [i if i >= 0 else made[w] for w, i in zip(words, out)]
         return np.array(out, np.int64)
+
+
+#: A key is hot if it has more rows than the first, and more than one in the second of all rows.
+LEAST_HOT, MOST_HOT = 256, 100_000
+
+
+def hot_limit(rows: int) -> int:
+    """The most rows of one key that go to one task, for a table of so many rows; at most MOST_HOT keys have more."""
+    return max(LEAST_HOT, rows // MOST_HOT)
+
+
+def deal_join(big: DataFrame, small: DataFrame, key, rows: int, count: str) -> DataFrame:
+    """``big`` joined with ``small``, whose column ``count`` tells how many of the about ``rows`` rows of ``big`` have the key.
+
+    Hot keys stay where they are and meet a broadcast of at most MOST_HOT keys; the others are shuffled, so no task gets more than
+    hot_limit rows of one key. ``small`` is read three times: a written table.
+    """
+    keys = [key] if isinstance(key, str) else key
+    hot, cold = small.filter(F.col(count) > hot_limit(rows)), small.filter(F.col(count) <= hot_limit(rows))
+    if hot.isEmpty():
+        return big.join(small, keys)
+    rest = big.join(F.broadcast(hot.select(*keys).distinct()), keys, "left_anti")
+    return big.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys))
+
+
+def frequent(df: DataFrame, most: int) -> DataFrame:
+    """The rows with the greatest n_all, at most ``most``: by a histogram of at most 512 steps, so ties stay out together."""
+    step = F.floor(F.log2("n_all") * 8)
+    least, kept = 1 << 62, 0
+    for r in sorted(df.groupBy(step.alias("step")).count().collect(), key=lambda r: -r.step):
+        kept += r["count"]
+        if kept > most:
+            break
+        least = r.step
+    return df.filter(step >= F.lit(least))

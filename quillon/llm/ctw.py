@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import crc_mod, materialise, raw_texts, slices
+from ._common import crc_mod, frequent, materialise, raw_texts, slices
 
 DEPTH, GRAMS, WORD_BYTES, PIECE = 4, 1 << 20, 64, 1 << 20
 PAD, END = b"\xff" * DEPTH, b"\xff"
@@ -261,18 +261,6 @@ def gram_table(spark: SparkSession, grams: DataFrame) -> DataFrame:
     return materialise(spark, parts.filter("n_all is not null").mapInArrow(finish, "gram long, n_all long, log10 double"), "ctw-grams")
 
 
-def frequent(df: DataFrame, most: int) -> DataFrame:
-    """The rows with the greatest n_all, at most ``most``: by a histogram of at most 512 steps, so ties stay out together."""
-    step = F.floor(F.log2("n_all") * 8)
-    least, kept = 1 << 62, 0
-    for r in sorted(df.groupBy(step.alias("step")).count().collect(), key=lambda r: -r.step):
-        kept += r["count"]
-        if kept > most:
-            break
-        least = r.step
-    return df.filter(step >= F.lit(least))
-
-
 SCORED = "rid long, word binary, gram long, n long, doc_id long, held_out boolean, n_bytes long, known long, base double, score double"
 
 

@@ -12,18 +12,22 @@ with weight 1 (the plain MinHash, which is the same for a text without repeats),
 Exact copies fold into one representative first, by a sum before the shuffle, so a large group of copies costs
 one row. Pairs of a bucket are not all made, but two members of a bucket are either compared or already in one class. A
 text's weight is the number of texts that it shares buckets with; the heaviest member of a bucket, the hub, is the one
-that most others were made from. First every member is paired with its buckets' hubs. Then, in ``ROUNDS`` rounds, classes
-are formed from the links so far, and in each bucket that still has members of several classes, ``HUBS`` members of
-the smallest ones meet all members of other classes; whoever has met all of a bucket leaves it. What is still in a
-bucket after that, outside the class with most members there, is compared with all candidates: these texts go out in
-blocks as queries, and one pass of all candidates' shingle sets finds every partner by an inverted index. All links are
+that most others were made from. First every member is paired with its buckets' hubs. Then classes are formed from the links so
+far, and in each bucket that still has members of several classes, ``HUBS`` members of the smallest ones meet all members of
+other classes. What is then left in buckets of several classes meets by a prefix filter, which is exact: in one order of all
+shingles, rare ones first, the first shingle that two texts of similarity 0.8 have in common lies within the first fifth of either, and
+the shares behind it bound their similarity. Only pairs of different classes within that bound are made. All pairs are
 verified on the whole shingle sets (set or probability Jaccard of at least 0.8) and join into classes by spreading
-least labels with pointer jumping.
+least labels with pointer jumping, in Spark.
+
+No key is joined in one task if it is frequent: a digest, bucket or shingle with more rows than ``LEAST_HOT`` and than one in ``MOST_HOT``
+of all is broadcast (at most ``MOST_HOT`` of these) or salted. What the driver sees are counts, and the ``FREQUENT`` most frequent shingles of the last step.
 
 Result: a row a document with its class id, the least document id of the class.
 Defined cases: null text is empty text; texts without words are alike only if equal; null ids form classes
-like others, a class with null ids only has a null class id; repeated rows return as often as they occur;
-an empty table gives no rows; other columns are not read.
+like others, a class with null ids only has a null class id; repeated rows return as often as they occur, and one row of a class
+is ``kept``; ties between ids go to one row; a very long text is one set of shingles, alone in its batch; an empty table gives no
+rows; other columns are not read (``one_of_each`` keeps them, whatever their names).
 """
 
 from __future__ import annotations
@@ -35,12 +39,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import materialise, mix64, prefix_hash, raw_texts, slices
+from ._common import deal_join, frequent, hot_limit, materialise, mix64, prefix_hash, raw_texts, slices
 
 SHINGLE, BANDS, ROWS, LEAST = 5, 25, 5, 0.8
 COMPONENTS = BANDS * ROWS
-#: Members of a bucket that meet all others in one round, such rounds, and texts and bytes of a block of queries.
-HUBS, ROUNDS, QUERIES, QUERY_BYTES = 4, 3, 1500, 1 << 25
+#: Members of a bucket that meet all others in one round, such rounds, and the most shingles whose frequency is sent.
+HUBS, ROUNDS, FREQUENT = 4, 1, 1 << 20
 #: Bits of the filter that spares the second pass most texts; when full it lets more through.
 FILTER_BITS = 1 << 24
 
@@ -201,7 +205,7 @@ def _unpack(elements: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, bands) of every document."""
+    """(row, doc_id, digest, bands) of every document."""
 
     def run(batches):
         for batch in slices(batches):
@@ -210,46 +214,65 @@ def signatures(docs: DataFrame) -> DataFrame:
             for i in range(0, len(raws), 256):
                 sets = shingle_sets(raws[i : i + 256])
                 bands += all_bands(sets)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "digest", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["row", "doc_id", "digest", "bands"])
+
+    return docs.select("text", F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row")).mapInArrow(run, "row long, doc_id long, digest binary, bands array<long>")
+
 
-    return docs.select("text", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, digest binary, bands array<long>")
+def _spots() -> list:
+    """Places of (digest, least id) in the filter."""
+    return [F.pmod(F.xxhash64("digest", F.coalesce("least", F.lit(-1)), F.lit(k)), F.lit(FILTER_BITS)) for k in (1, 2)]
 
 
-def _filter_bits(digests: DataFrame) -> np.ndarray:
-    """A Bloom filter of (digest) as bytes: summed up in Spark, at most FILTER_BITS / 64 rows come here."""
-    spots = F.explode(F.array(*[F.pmod(F.xxhash64("digest", F.lit(k)), F.lit(FILTER_BITS)) for k in (1, 2)])).alias("spot")
-    words = digests.select(spots).groupBy(F.shiftright("spot", 5).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 31 as int))")).alias("bits")).toArrow()
+def _filter_bits(wanted: DataFrame) -> np.ndarray:
+    """A Bloom filter of (digest, least) as bytes: summed up in Spark, at most FILTER_BITS / 32 rows come here."""
+    spots = F.explode(F.array(*_spots())).alias("spot")
+    words = wanted.select(spots).groupBy(F.shiftright("spot", 5).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 31 as int))")).alias("bits")).toArrow()
     out = np.zeros(FILTER_BITS // 32, np.uint32)
     out[words.column(0).to_numpy()] = words.column(1).to_numpy().astype(np.uint32)
     return out
 
 
 def _shingles_of(spark: SparkSession, docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(digest, elements, weights) of the wanted digests, from a second pass over the texts."""
+    """(digest, elements, weights) of the wanted (digest, least id), from a second pass over the texts: one copy of each is read."""
     bits = spark.sparkContext.broadcast(_filter_bits(wanted))
-    spots = [F.pmod(F.xxhash64(F.unhex(F.md5(F.coalesce("text", F.lit("")))), F.lit(k)), F.lit(FILTER_BITS)).alias(f"s{k}") for k in (1, 2)]
+    rows = docs.select("text", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest"), F.col("doc_id").cast("long").alias("least"))
+    spots = [c.alias(f"s{k}") for k, c in enumerate(_spots())]
 
     def run(batches):
         table = bits.value
         for batch in slices(batches):
             hit = np.ones(batch.num_rows, bool)
-            for i in (1, 2):
+            for i in (2, 3):
                 spot = batch.column(i).to_numpy()
                 hit &= (table[spot >> 5] >> (spot & 31).astype(np.uint32) & 1).astype(bool)
             if not hit.any():
                 continue
-            raws = raw_texts(batch.filter(pa.array(hit)))
-            rows = [(hashlib.md5(raw).digest(), *_pack(*found)) for raw, found in zip(raws, shingle_sets(raws))]
+            part = batch.filter(pa.array(hit))
+            found = {d: raw for d, raw in zip(part.column(1).to_pylist(), raw_texts(part))}  # repeated rows once
+            rows = [(d, *_pack(*x)) for d, x in zip(found, shingle_sets(list(found.values())))]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows)], ["digest", "elements", "weights"])
 
-    found = docs.select("text", *spots).mapInArrow(run, "digest binary, elements binary, weights binary")
-    return found.join(wanted, "digest", "left_semi").dropDuplicates(["digest"])
+    found = rows.select("text", "digest", *spots).mapInArrow(run, "digest binary, elements binary, weights binary")
+    return found.dropDuplicates(["digest"]).join(wanted.select("digest"), "digest", "left_semi")
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame, key: str, elements: str, weights: str, rows: int) -> DataFrame:
+    """Pairs with the set of one end; an end of very many pairs is dealt to several tasks, with a copy of its set each."""
+    limit = hot_limit(rows)
+    hot = pairs.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).cast("int").alias("salts"))
+    hot = F.broadcast(hot)  # at most MOST_HOT
+    spread = F.coalesce(F.pmod(F.xxhash64("a", "b"), "salts").cast("int"), F.lit(0))
+    left = pairs.join(hot, key, "left").withColumn("salt", spread).drop("salts")
+    named = sets.select(F.col("digest").alias(key), F.col("elements").alias(elements), F.col("weights").alias(weights))
+    right = named.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return left.join(right, [key, "salt"]).drop("salt")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(spark: SparkSession, pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, alike) for pairs of digests."""
-    one = sets.select(F.col("digest").alias("a"), F.col("elements").alias("ea"), F.col("weights").alias("wa"))
-    two = sets.select(F.col("digest").alias("b"), F.col("elements").alias("eb"), F.col("weights").alias("wb"))
+    pairs = materialise(spark, pairs.select("a", "b"), "pairs")
+    n = pairs.count()
 
     def run(batches):
         for batch in slices(batches, 64):
@@ -258,33 +281,12 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 alike.append(max(similarity(*_unpack(ea, wa), *_unpack(eb, wb))) >= LEAST)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(alike, pa.bool_())], ["a", "b", "alike"])
 
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "ea", "wa", "eb", "wb")
-    return both.mapInArrow(run, "a binary, b binary, alike boolean")
-
-
-def _joined(links: pa.Table) -> pa.Table:
-    """The result of components for few links."""
-    a, b = (links.column(k).to_pylist() for k in ("a", "b"))
-    root = {x: x for x in a + b}
-
-    def find(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for x, y in zip(a, b):
-        x, y = find(x), find(y)
-        root[max(x, y)] = min(x, y)
-    return pa.table({"digest": pa.array(list(root), pa.binary()), "root": pa.array([find(x) for x in root], pa.binary())})
+    both = _with_sets(_with_sets(pairs, sets, "a", "ea", "wa", n), sets, "b", "eb", "wb", n).select("a", "b", "ea", "wa", "eb", "wb")
+    return materialise(spark, both.mapInArrow(run, "a binary, b binary, alike boolean"), "checked")
 
 
-def components(spark: SparkSession, links: DataFrame, few: int = 200_000) -> DataFrame:
-    """(digest, root): least digest reachable over links (a, b); only digests with links. Up to ``few`` links are
-    joined on the driver, which saves the rounds of small jobs and gives the same roots."""
-    links = materialise(spark, links.select("a", "b").distinct(), "pairs")
-    if links.count() <= few:
-        return materialise(spark, spark.createDataFrame(_joined(links.toArrow()), "digest binary, root binary"), "roots")
+def components(spark: SparkSession, links: DataFrame) -> DataFrame:
+    """(digest, root): least digest reachable over links (a, b); only digests with links."""
     ends = links.select(F.col("a").alias("x"), F.col("b").alias("y"))
     ends = materialise(spark, ends.union(ends.select("y", "x")).distinct(), "links")
     labels = materialise(spark, ends.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("root")), "labels")
@@ -304,117 +306,141 @@ def _pairs(left, right) -> list:
     return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
 
 
-def _against_all(spark: SparkSession, sets: DataFrame, queries: DataFrame) -> DataFrame | None:
-    """Links (a, b) of the query texts with all candidates: blocks of queries, one pass of the sets a block."""
-    size = sets.join(queries, "digest", "left_semi").agg(F.count("*").alias("n"), F.sum(F.length("elements").cast("long")).alias("bytes")).first()
-    blocks, out = max(-(-size.n // QUERIES), -(-(size.bytes or 0) // QUERY_BYTES)), None
-    for k in range(blocks):
-        block = queries.filter(F.pmod(F.xxhash64("digest"), F.lit(blocks)) == k)
-        rows = [(bytes(r.digest), *_unpack(bytes(r.elements), bytes(r.weights))) for r in sets.join(block, "digest", "left_semi").collect()]
-        if not rows:
-            continue
-        sent = spark.sparkContext.broadcast(rows)
-
-        def run(batches, sent=sent):
-            rows = sent.value
-            flat, owner = np.concatenate([e for _, e, _ in rows]), np.repeat(np.arange(len(rows)), [len(e) for _, e, _ in rows])
-            order = np.argsort(flat, kind="stable")
-            flat, owner = flat[order], owner[order]
-            keys, start = np.unique(flat, return_index=True)
-            count = np.diff(np.append(start, len(flat)))
-            sizes, whole = np.array([len(e) for _, e, _ in rows]), np.array([w.sum() for _, _, w in rows])
-            weight = np.concatenate([w for _, _, w in rows])[order]
-            for batch in slices(batches, 64):
-                found = []
-                for digest, elements, weights in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                    e, w = _unpack(elements, weights)
-                    at = np.minimum(np.searchsorted(keys, e), len(keys) - 1)
-                    hit = np.flatnonzero(keys[at] == e)
-                    at = at[hit]
-                    if not len(at):
-                        continue
-                    spots = np.repeat(start[at] - (np.cumsum(count[at]) - count[at]), count[at]) + np.arange(count[at].sum())
-                    who, n = owner[spots], len(rows)
-                    common = np.bincount(who, minlength=n)
-                    # Bounds of both similarities: the shares of either text's shingles, and of their weights, that are common.
-                    here = np.bincount(who, np.repeat(w[hit], count[at]), n) / w.sum()
-                    there = np.bincount(who, weight[spots], n) / whole
-                    bound = np.maximum(np.minimum(common / len(e), common / sizes), np.minimum(here, there))
-                    for i in np.flatnonzero(bound >= LEAST - 1e-9).tolist():
-                        if rows[i][0] != digest and max(similarity(e, w, *rows[i][1:])) >= LEAST:
-                            found.append((min(digest, rows[i][0]), max(digest, rows[i][0])))
-                yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], pa.binary()) for j in (0, 1)], ["a", "b"])
-
-        part = sets.select("digest", "elements", "weights").mapInArrow(run, "a binary, b binary")
-        out = part if out is None else out.union(part)
-    return out
+def _mixed(rows: DataFrame, key: str, total: int, spark: SparkSession) -> DataFrame:
+    """The rows (key, digest, root, ...) of keys with several classes, with the number of the class's rows there (n), of all rows
+    there (total) and the class that has most (main)."""
+    size = materialise(spark, rows.groupBy(key, "root").agg(F.count("*").alias("n")), "sizes")
+    several = size.groupBy(key).agg(F.count("*").alias("classes"), F.sum("n").alias("total"), F.max_by("root", F.struct("n", "root")).alias("main")).filter("classes > 1")
+    several = materialise(spark, several, "several")
+    classes = materialise(spark, deal_join(size, several, key, total, "classes").drop("classes"), "classes")
+    return deal_join(rows, classes, [key, "root"], total, "n")
+
+
+def _rooted(spark: SparkSession, rows: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows with their digest's class."""
+    if links.isEmpty():
+        return rows.withColumn("root", F.col("digest"))
+    return rows.join(components(spark, links), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+
 
+def prefixes(elements: np.ndarray, weights: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(elements, shares of the weight from each on) of a text's prefix in the order of (rank, element), in that order: all from
+    which on either count or weight is 0.8 of the whole."""
+    order = np.lexsort((elements, rank))
+    behind = np.cumsum(weights[order][::-1])[::-1] / weights.sum()
+    count = 1 - np.arange(len(order)) / len(order)
+    n = int(((behind >= LEAST - 1e-9) | (count >= LEAST - 1e-9)).sum())  # both fall, so this is a prefix
+    return elements[order[:n]], behind[:n]
 
-def _untested(spark: SparkSession, rest: DataFrame, links: DataFrame) -> DataFrame:
-    """The rows (bucket, digest, weight) of buckets whose members lie in several classes, with their class (root), its
-    members in the bucket (n) and the class that has most there (main)."""
-    roots = links.select(F.col("a").alias("digest"), F.col("a").alias("root")).limit(0) if links.isEmpty() else components(spark, links)
-    rooted = rest.join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    size = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    several = size.groupBy("bucket").agg(F.count("*").alias("classes"), F.max_by("root", F.struct("n", "root")).alias("main")).filter("classes > 1").drop("classes")
-    return materialise(spark, rooted.join(several, "bucket").join(size, ["bucket", "root"]).select("bucket", "digest", "weight", "root", "n", "main"), "untested")
+
+def _by_prefix(spark: SparkSession, sets: DataFrame, left: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different classes that may be alike, from (digest, root): by shared prefix shingles."""
+    mine = materialise(spark, sets.join(left, "digest").select("digest", "root", "elements", "weights"), "left")
+
+    def count(batches):
+        for batch in slices(batches):
+            found, n = np.unique(np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(e, np.uint64) for e in batch.column(0).to_pylist())]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["element", "n"])
+
+    counts = mine.select("elements").mapInArrow(count, "element long, n long").groupBy("element").agg(F.sum("n").alias("n_all")).filter("n_all > 1")
+    common = frequent(materialise(spark, counts, "frequencies"), FREQUENT).select("element", "n_all").toArrow()  # any order gives whole results; this one makes few pairs
+    known, often = common.column(0).to_numpy().view(np.uint64), common.column(1).to_numpy()
+    order = known.argsort()
+    sent = spark.sparkContext.broadcast((known[order], often[order]))
+
+    def keys(batches):
+        known, often = sent.value
+        for batch in slices(batches, 256):
+            out = []
+            for digest, root, e, w in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                e, w = _unpack(e, w)
+                if not len(e):
+                    continue
+                rank = np.zeros(len(e), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, e), len(known) - 1)
+                    rank = np.where(known[at] == e, often[at], 0)
+                first, share = prefixes(e, w, rank)
+                out += [(k, digest, root, len(e), i, s) for i, (k, s) in enumerate(zip(first.view(np.int64).tolist(), share.tolist()))]
+            cols = list(zip(*out)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.float64()))], ["key", "digest", "root", "size", "place", "share"])
+
+    keyed = materialise(spark, mine.mapInArrow(keys, "key long, digest binary, root binary, size long, place long, share double"), "prefixes")
+    rows = keyed.count()
+    limit = hot_limit(rows)
+    live = materialise(spark, _mixed(keyed, "key", rows, spark), "mixed")
+    salts = F.ceil(F.col("total") / limit).cast("int")
+    every = live.withColumn("salt", F.pmod(F.xxhash64("digest"), salts).cast("int"))
+    others = live.filter("root != main").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    x = others.select("key", "salt", *[F.col(c).alias(f"x_{c}") for c in ("digest", "root", "size", "place", "share")])
+    y = every.select("key", "salt", *[F.col(c).alias(f"y_{c}") for c in ("digest", "root", "size", "place", "share")])
+    # What both can have in common from this shingle on bounds either similarity.
+    most = F.least(F.col("x_size") - F.col("x_place"), F.col("y_size") - F.col("y_place"))
+    plain = most / (F.col("x_size") + F.col("y_size") - most)
+    weighted = 1 / (1 / F.col("x_share") + 1 / F.col("y_share") - 1)
+    near = (F.col("x_root") != F.col("y_root")) & (F.greatest(plain, weighted) >= LEAST - 1e-9)
+    return x.join(y, ["key", "salt"]).filter(near).select(*_pairs(F.col("x_digest"), F.col("y_digest"))).distinct()
 
 
 def _links(spark: SparkSession, docs: DataFrame, texts: DataFrame) -> DataFrame:
     """Verified links (a, b), a < b, between digests: any two that share a bucket were compared or are in one class."""
     members = texts.select("digest", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    met = materialise(spark, members.join(shared, "bucket"), "buckets")
-    weight = met.groupBy("digest").agg(F.sum("n").alias("weight"))
-    met = materialise(spark, met.join(weight, "digest").select("bucket", "digest", "weight"), "weights")
-    sets = materialise(spark, _shingles_of(spark, docs, met.select("digest").distinct()), "shingles")
-    hubs = met.groupBy("bucket").agg(F.max_by("digest", F.struct("weight", "digest")).alias("hub"))
-    first = met.join(hubs, "bucket").filter(F.col("digest") != F.col("hub")).select("bucket", "digest", "weight", "hub")
-    pairs = first.select(*_pairs(F.col("digest"), F.col("hub"))).distinct()
-    tested = materialise(spark, _verified(pairs, sets), "checked")
-    live = _untested(spark, first.drop("hub"), tested.filter("alike").select("a", "b"))
+    shared = materialise(spark, members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+    total = texts.count() * BANDS
+    by_text = deal_join(members, shared, "bucket", total, "n").groupBy("digest").agg(F.sum("n").alias("weight"), F.collect_list(F.struct("bucket", "n")).alias("met"))
+    met = materialise(spark, by_text.select("digest", "weight", F.explode("met").alias("met")).select("met.*", "digest", "weight"), "weights")
+    least = texts.select("digest", F.col("top.doc_id").alias("least"))
+    wanted = materialise(spark, met.select("digest").distinct().join(least, "digest"), "wanted")
+    sets = materialise(spark, _shingles_of(spark, docs, wanted), "shingles")
+    hubs = materialise(spark, met.groupBy("bucket").agg(F.max_by("digest", F.struct("weight", "digest")).alias("hub"), F.count("*").alias("n")), "hubs")
+    first = deal_join(met.select("bucket", "digest", "weight"), hubs, "bucket", total, "n").filter(F.col("digest") != F.col("hub"))
+    first = materialise(spark, first.select("bucket", "digest", "weight", "hub"), "first")
+    tested = _verified(spark, first.select(*_pairs(F.col("digest"), F.col("hub"))).distinct(), sets)
+    live = materialise(spark, _mixed(_rooted(spark, first.drop("hub"), tested.filter("alike")), "bucket", total, spark), "untested")
     order = Window.partitionBy("bucket").orderBy("n", F.col("weight").desc(), "digest")
     for _ in range(ROUNDS):
-        others = live.filter(F.col("root") != F.col("main"))
+        others = live.filter("root != main")
         if others.isEmpty():
             break
-        hubs = others.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= HUBS).select("bucket", F.col("digest").alias("hub"), F.col("root").alias("hub_root"))
-        hubs = materialise(spark, hubs, "hubs")
-        pairs = live.join(hubs, "bucket").filter(F.col("root") != F.col("hub_root")).select(*_pairs(F.col("digest"), F.col("hub"))).distinct()
-        checked = materialise(spark, _verified(pairs.join(tested, ["a", "b"], "left_anti"), sets), "checked")
-        tested = tested.union(checked)
-        rest = live.join(hubs.select("bucket", F.col("hub").alias("digest")), ["bucket", "digest"], "left_anti").select("bucket", "digest", "weight")
-        live = _untested(spark, rest, tested.filter("alike").select("a", "b"))
+        some = others.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= HUBS).select("bucket", "total", F.col("digest").alias("hub"), F.col("root").alias("hub_root"))
+        some = materialise(spark, some, "some")
+        meet = deal_join(live.select("bucket", "digest", "root"), some, "bucket", total, "total").filter(F.col("root") != F.col("hub_root"))
+        pairs = meet.select(*_pairs(F.col("digest"), F.col("hub"))).distinct()
+        tested = tested.union(_verified(spark, pairs.join(tested, ["a", "b"], "left_anti"), sets))
+        rest = live.join(some.select("bucket", F.col("hub").alias("digest")), ["bucket", "digest"], "left_anti").select("bucket", "digest", "weight")
+        live = materialise(spark, _mixed(_rooted(spark, rest, tested.filter("alike")), "bucket", total, spark), "untested")
     links = tested.filter("alike").select("a", "b")
-    left = live.filter(F.col("root") != F.col("main")).select("digest").distinct()
-    rest = _against_all(spark, sets, materialise(spark, left, "left"))
-    return links if rest is None else links.union(rest)
+    if live.isEmpty():
+        return links
+    pairs = _by_prefix(spark, sets, live.select("digest", "root").distinct()).join(tested, ["a", "b"], "left_anti")
+    return links.union(_verified(spark, pairs, sets).filter("alike").select("a", "b"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, class_size and kept (one document a class), with the text's digest."""
+    """doc_id, class_id, class_size and kept (one row a class), with the text's digest."""
     signed = materialise(spark, signatures(docs), "signatures")
-    texts = signed.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    row = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")
+    texts = materialise(spark, signed.groupBy("digest").agg(F.min(row).alias("top"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "texts")
     links = materialise(spark, _links(spark, docs, texts).distinct(), "verified")
-    known = texts.select("digest", "least", "copies")
-    if links.isEmpty():
-        classes = known.select("digest", F.col("least").alias("class_id"), F.col("copies").alias("class_size"), F.col("digest").alias("top"))
-    else:
-        rooted = known.join(components(spark, links), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-        whole = rooted.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"), F.min(F.struct(F.col("least").isNull(), "least", "digest")).alias("top"))
-        classes = rooted.join(whole, "root").select("digest", "class_id", "class_size", F.col("top.digest").alias("top"))
-    kept = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("digest") == F.col("top"))
-    return signed.select("doc_id", "digest").join(classes, "digest").select("doc_id", "class_id", "class_size", kept.alias("kept"), "digest")
+    rooted = _rooted(spark, texts.select("digest", "top", "copies"), links)
+    whole = rooted.groupBy("root").agg(F.sum("copies").alias("class_size"), F.min("top").alias("class"))
+    rows = signed.count()
+    # A class of very many different texts has as many rows of one root.
+    members = materialise(spark, rooted, "rooted")
+    whole = materialise(spark, whole.withColumn("n", F.col("class_size")), "whole")
+    classes = materialise(spark, deal_join(members, whole, "root", rows, "n").select("digest", "copies", "class_size", "class"), "classed")
+    out = deal_join(signed.select("row", "doc_id", "digest"), classes, "digest", rows, "copies")
+    return out.select("doc_id", F.col("class.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("class.row")).alias("kept"), "digest")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The documents with one of each class, columns as they are."""
-    chosen = near_duplicates(spark, docs).filter("kept").groupBy("doc_id", "digest").agg(F.count("*").alias("rows"))
-    chosen = materialise(spark, chosen, "kept").select(F.col("doc_id").alias("_k_id"), F.col("digest").alias("_k_digest"), F.col("rows").alias("_k_rows"))
-    row = docs.select(F.struct("*").alias("_row"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("_digest"), F.col("doc_id").cast("long").alias("_id"))
-    met = row.join(chosen, F.col("_id").eqNullSafe(F.col("_k_id")) & (F.col("_digest") == F.col("_k_digest")))
-    single = met.filter("_k_rows = 1").select("_row.*")
-    repeated = met.filter("_k_rows > 1")
-    if chosen.filter("_k_rows > 1").isEmpty():
-        return single
-    return single.union(repeated.groupBy("_id", "_digest").agg(F.first("_row").alias("_row")).select("_row.*"))
+    """The documents with one of each class, columns as they are. The kept row is found by its id and text; where that pair repeats, one of its rows."""
+    key = lambda doc_id, digest: F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), F.hex(digest))
+    signed = near_duplicates(spark, docs).select(key(F.col("doc_id"), F.col("digest")).alias("_key"), "kept")
+    chosen = materialise(spark, signed.groupBy("_key").agg(F.max("kept").alias("kept"), F.count("*").alias("_n")).filter("kept").drop("kept"), "kept")
+    digest = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+    row = docs.select(F.struct("*").alias("_row"), key(F.col("doc_id").cast("long"), digest).alias("_key"))
+    met = deal_join(row, chosen, "_key", docs.count(), "_n")
+    if chosen.filter("_n > 1").isEmpty():
+        return met.select("_row.*")
+    return met.filter("_n = 1").select("_row.*").union(met.filter("_n > 1").groupBy("_key").agg(F.first("_row").alias("_row")).select("_row.*"))

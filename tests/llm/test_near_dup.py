@@ -137,12 +137,61 @@ def test_equal_sets_share_bands_whatever_repeats():
         assert len(set(one) & set(two)) == N.BANDS
 
 
-def test_few_links_join_as_many(spark):
+def test_components(spark):
     r = random.Random(9)
     rows = [tuple(sorted((bytes([r.randrange(200)]), bytes([r.randrange(200)])))) for _ in range(150)]
-    links = spark.createDataFrame([x for x in rows if x[0] != x[1]], "a binary, b binary")
-    got = [{bytes(x.digest): bytes(x.root) for x in N.components(spark, links, few).collect()} for few in (1000, 0)]
-    assert got[0] == got[1]
+    rows = [x for x in rows if x[0] != x[1]]
+    root = {x: x for pair in rows for x in pair}
+    for _ in range(200):
+        for a, b in rows:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {bytes(x.digest): bytes(x.root) for x in N.components(spark, spark.createDataFrame(rows, "a binary, b binary")).collect()}
+    assert got == root
+
+
+def test_prefixes_meet_whenever_texts_are_alike():
+    """The first common element lies in both prefixes, and its shares bound the similarity from above."""
+    r = np.random.default_rng(4)
+    met = 0
+    for _ in range(400):
+        base = r.choice(10**6, 120, replace=False).astype(np.uint64)
+        sides = []
+        for _ in range(2):
+            e = np.unique(np.concatenate([base[r.random(120) < 0.95], r.choice(10**6, r.integers(0, 12)).astype(np.uint64)]))
+            sides.append((e, np.where(r.random(len(e)) < 0.1, r.integers(1, 9, len(e)), 1)))
+        best = max(N.similarity(*sides[0], *sides[1]))
+        if best < N.LEAST:
+            continue
+        met += 1
+        first, second = (dict(zip(*(x.tolist() for x in N.prefixes(e, w, (e % np.uint64(7)).astype(np.int64))))) for e, w in sides)
+        shared = [k for k in first if k in second]
+        (a, _), (b, _) = sides
+        order = lambda e: [int(x) for x in e[np.lexsort((e, e % np.uint64(7)))]]
+        i, j = order(a).index(shared[0]), order(b).index(shared[0])
+        most = min(len(a) - i, len(b) - j)
+        assert max(most / (len(a) + len(b) - most), 1 / (1 / first[shared[0]] + 1 / second[shared[0]] - 1)) >= best - 1e-9
+    assert met > 100
+
+
+def test_hot_keys_are_dealt_out(spark, monkeypatch):
+    """With limits so low that every path is taken: copies, buckets, pairs and shingles beyond them."""
+    from quillon.llm import _common
+
+    monkeypatch.setattr(_common, "LEAST_HOT", 3)
+    monkeypatch.setattr(N, "HUBS", 1)
+    r = random.Random(13)
+    base, rows = words(r, 100), []
+    for k in range(70):
+        w = list(base)
+        for _ in range(r.choice((0, 1, 2, 3, 4, 5))):
+            w[r.randrange(100)] = f"q{r.random()}"
+        rows.append((k, " ".join(w)))
+    rows += [(200 + k, rows[0][1]) for k in range(12)] + [(None, rows[1][1]), (5, rows[5][1]), (5, rows[5][1])]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], SCHEMA + ", digest string")
+    got = N.near_duplicates(spark, docs).collect()
+    want = brute_classes([(i, t) for i, t in rows if i is not None])
+    assert {x.doc_id: x.class_id for x in got if x.doc_id is not None} == want and len(got) == len(rows)
+    assert sum(x.kept for x in got) == len(set(want.values())) == N.one_of_each(spark, docs).count()
 
 
 def test_one_of_each_keeps_columns_and_one_row(spark):
