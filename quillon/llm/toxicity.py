@@ -1,23 +1,30 @@
-"""Toxicity: averaged subword vectors in a linear softmax, pooled over a text's words.
+"""Toxicity: averaged subword vectors in a linear softmax.
 
-A word is a run of letters, digits and bytes beyond ASCII, in lower case, and not of digits only. Its bag holds its byte n-grams of 3 to 6
-with marks at both ends, and the marked word itself, hashed to ``BUCKETS`` rows of an embedding table. The
-bag's vectors are averaged and go through a linear softmax of two classes. Misspelt words share n-gram vectors with
-those that were seen. A text's logit is the greatest of its words' (toxic words are few, and an average over a whole
-long text would drown them); a logistic curve, fitted on every fifth text that the training left out, makes it a probability. Embeddings and softmax are trained
-jointly in numpy: first every word has its text's label, then only the word that decides each toxic text, and every
-word of the clean ones.
+A word is a run of letters, digits and bytes beyond ASCII, in lower case, and not of digits only. Its subwords are its byte
+n-grams of 3 to 6 with marks at both ends, and the marked word itself, hashed to ``BUCKETS`` rows of an embedding table. A text's
+bag holds the subwords of all its words, as often as they occur; the bag's vectors are averaged over the whole text, with ``SHRINK``
+zero vectors (so a text of few words decides little) and times a fixed ``SCALE`` (averages of a long text are small numbers), and go
+through a linear softmax of two classes. Misspelt words share n-gram vectors with those that were seen.
+
+Embeddings and softmax are trained jointly in numpy on whole batches, by steps with momentum of one size for all embeddings, after each of
+which every embedding is shortened by a fixed length, so those that tell nothing become zero and stay out. Only buckets that
+occur in at least ``SEEN`` texts are trained. Every fifth text is left out of it, tells which epoch is best, and fits the logistic curve
+that makes the logit a probability.
 
 Fitted on a bounded sample, about ``SAMPLE`` toxic and clean texts, chosen by the hash of their ids; labels count
 only from rows whose crc32 of the id is not 2 modulo 4.
 
-Defined cases: null text is empty text; a text without words gets the score of a logit below every word's (near 0); with
-no label of either kind each score is 0; equal texts of equal label count once, so repeated rows do not swell the sample; a null label is no label; an empty
-table gives no rows; other columns are not read.
+Defined cases: null text is empty text; a text without words has the average 0, so its score is that of the bias; with
+no label of either kind each score is 0; equal texts of equal label count once, and of the texts of one id the least, so repeated rows do not swell the
+sample; a null label is no label; repeated rows return as often as they occur, with equal scores; ties do not matter, as each text
+is scored alone; very long texts are averaged as a whole, and are alone in their batch; an empty table gives no rows; other columns are not
+read.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,8 +35,7 @@ from ._common import WordMemory, crc_mod, hash_sample, mix64, prefix_hash, raw_t
 BUCKETS, DIMENSIONS, SHORTEST, LONGEST, CUT = 1 << 20, 4, 3, 6, 0.3
 #: About so many toxic and so many clean texts are fitted.
 SAMPLE = (2000, 4000)
-#: Zero vectors that each average counts besides its subwords, so a bag of few subwords decides little.
-SHRINK = 8
+SCALE, SHRINK, SEEN, EPOCHS = 64.0, 256, 10, 300
 #: Other bytes become spaces; A-Z become a-z.
 TO_WORDS = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i > 127 else 32 for i in range(256))
 
@@ -64,87 +70,105 @@ class Model:
     def __init__(self, logit: np.ndarray, bias: float, slope: float, offset: float):
         self.logit, self.bias, self.slope, self.offset = logit.astype(np.float32), bias, slope, offset
 
-    def word_logits(self, words: list[bytes]) -> np.ndarray:
+    def word_sums(self, words: list[bytes]) -> np.ndarray:
+        """For each word the sum of its subwords' logits, and their number."""
         bucket, owner = bags(words)
-        n = np.bincount(owner, minlength=len(words))
-        return np.bincount(owner, self.logit[bucket], len(words)) / (n + SHRINK) + self.bias
+        return np.stack([np.bincount(owner, self.logit[bucket], len(words)), np.bincount(owner, minlength=len(words))], 1)
 
     def memory(self) -> WordMemory:
         """The worker's memory of words: a broadcast model is one object for all tasks of a worker."""
         if not hasattr(self, "_memory"):
-            self._memory = WordMemory({}, np.zeros(0, np.float32), self.word_logits)
+            self._memory = WordMemory({}, np.zeros((0, 2), np.float32), self.word_sums)
         return self._memory
 
+    def raw(self, raw: bytes, memory: WordMemory) -> float:
+        """The logit of the averaged bag."""
+        words = words_of(raw)
+        if not words:
+            return self.bias
+        total, n = memory.table[memory.rows(words)].sum(0, dtype=np.float64)
+        return SCALE * total / (n + SHRINK) + self.bias
+
     def score(self, raw: bytes, memory: WordMemory) -> float:
-        words = list(set(words_of(raw)))
-        top = float(memory.table[memory.rows(words)].max()) if words else -30.0
-        return float(1 / (1 + np.exp(-np.clip(self.slope * top + self.offset, -40, 40))))
+        return float(_sigmoid(self.slope * self.raw(raw, memory) + self.offset))
 
 
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def train(texts: list[bytes], toxic: np.ndarray, epochs: int = 12, rate: float = 1.0, seed: int = 7) -> Model:
-    """Joint training by Adagrad over the distinct words of each text; every fifth text only calibrates."""
+class _Bags:
+    """Texts as counts of words, words as bags of buckets."""
+
+    def __init__(self, texts: list[bytes], vocabulary: dict[bytes, int]):
+        counts = [Counter(words_of(t)) for t in texts]
+        self.word = np.array([vocabulary.setdefault(w, len(vocabulary)) for c in counts for w in c], np.int64)
+        self.count = np.array([n for c in counts for n in c.values()], float)
+        self.text = np.repeat(np.arange(len(texts)), [len(c) for c in counts])
+
+    def share(self, sizes: np.ndarray) -> np.ndarray:
+        """How much of its text's average each row's word has, for one of its subwords."""
+        return self.count / (np.bincount(self.text, self.count * sizes[self.word])[self.text] + SHRINK)
+
+
+def train(texts: list[bytes], toxic: np.ndarray, epochs: int = EPOCHS, rate: float = 0.01, sparse: float = 0.02, seed: int = 7) -> Model:
+    """Joint training of embeddings and softmax; every fifth text chooses the epoch and calibrates."""
     rng = np.random.default_rng(seed)
-    held = [(t, y) for i, (t, y) in enumerate(zip(texts, toxic)) if i % 5 == 4]
-    texts, toxic = [t for i, t in enumerate(texts) if i % 5 < 4], np.array([y for i, y in enumerate(toxic) if i % 5 < 4], float)
+    toxic = np.array(toxic, float)
+    held = np.arange(len(texts)) % 5 == 4
     vocabulary: dict[bytes, int] = {}
-    members = [np.fromiter({vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)}, np.int64) for t in texts]
-    used = np.array([len(m) > 0 for m in members], bool)
-    members, labels = [m for m in members if len(m)], toxic[used]
-    if not len(labels) or labels.min() == labels.max():
-        return Model(np.zeros(BUCKETS), 0.0, 0.0, -40.0)
+    every = _Bags(texts, vocabulary)
     names = list(vocabulary)
+    if not names or len(set(toxic[~held].tolist())) < 2:
+        return Model(np.zeros(BUCKETS), 0.0, 0.0, -40.0)
     bucket, owner = bags(names)
-    there = np.zeros(BUCKETS, bool)
-    there[bucket] = True
-    rows = np.flatnonzero(there)  # only the buckets that occur
-    place = np.zeros(BUCKETS, np.int32)
-    place[rows] = np.arange(len(rows))
-    bucket = place[bucket]
-    count = np.bincount(owner, minlength=len(names))
-    starts, size = np.concatenate(([0], np.cumsum(count)[:-1])), (count + SHRINK).astype(np.float32)
-    embedding = rng.normal(0, 0.1, (DIMENSIONS, len(rows))).astype(np.float32)
-    softmax, bias = rng.normal(0, 0.3, DIMENSIONS).astype(np.float32), -2.0
-    squares, soft_squares, bias_squares = np.full(embedding.shape, 1e-6, np.float32), np.full(DIMENSIONS, 1e-6), 1e-6
-    flat = np.concatenate(members)
-    lengths = np.array([len(m) for m in members])
-    first, of_doc = np.cumsum(lengths) - lengths, np.repeat(np.arange(len(members)), lengths)
-    in_toxic = np.bincount(flat, labels[of_doc], len(names))
-    in_clean = np.bincount(flat, 1 - labels[of_doc], len(names))
-
-    def words():
-        vectors = np.stack([np.add.reduceat(e[bucket], starts) for e in embedding]) / size
-        return vectors, softmax @ vectors + bias
-
-    for epoch in range(epochs):
-        vectors, logit = words()
-        positive = in_toxic
-        if epoch >= epochs // 3:  # the deciding word of each toxic text
-            z = logit[flat]
-            decides = (z == np.maximum.reduceat(z, first)[of_doc]) & (labels[of_doc] > 0)
-            positive = np.bincount(flat[decides], minlength=len(names)).astype(float)
-        n = positive + in_clean  # a word of many texts weighs as the root of their number
-        error = np.where(n > 0, (n * _sigmoid(logit) - positive) / np.sqrt(np.maximum(n, 1)), 0).astype(np.float32)
-        soft_step, bias_step = vectors @ error, float(error.sum())
-        spread = np.bincount(bucket, np.repeat(error / size, count), len(rows)).astype(np.float32)
-        for d in range(DIMENSIONS):
-            step = spread * softmax[d]
-            squares[d] += step * step
-            embedding[d] -= rate * step / np.sqrt(squares[d])
-        soft_squares += soft_step * soft_step
-        softmax = (softmax - 0.1 * rate * soft_step / np.sqrt(soft_squares)).astype(np.float32)
-        bias_squares += bias_step * bias_step
-        bias -= 0.1 * rate * bias_step / np.sqrt(bias_squares)
-    logits = np.zeros(BUCKETS, np.float32)
-    logits[rows] = softmax @ embedding
-    model = Model(logits, float(bias), 1.0, 0.0)
-    pairs = [(float(model.word_logits(w).max()), y) for t, y in held if (w := list(set(words_of(t))))]
-    if len({y for _, y in pairs}) == 2:
-        top, y = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs], float)
-        model.slope, model.offset = _logistic(top, y)
+    share = SCALE * every.share(np.bincount(owner, minlength=len(names)))
+    # How many texts hold a bucket, counted by word: never less than the number of texts.
+    within = np.bincount(bucket, np.bincount(every.word, minlength=len(names))[owner], BUCKETS) >= min(SEEN, len(texts) // 10 + 1)
+    bucket, owner = bucket[within[bucket]], owner[within[bucket]]
+    rows, bucket = np.unique(bucket, return_inverse=True)
+    embedding = rng.normal(0, 0.01, (DIMENSIONS, len(rows))).astype(np.float32)
+    softmax, bias = rng.normal(0, 0.5, DIMENSIONS).astype(np.float32), np.array([np.log(toxic.mean() / (1 - toxic.mean()))], np.float32)
+    state = [[np.zeros_like(x), np.zeros_like(x)] for x in (embedding, softmax, bias)]
+    best, shorten, fits = (np.inf, np.zeros(BUCKETS, np.float32), float(bias[0])), None, ~held[every.text]
+
+    def logits_of(logit: np.ndarray, bias: float) -> np.ndarray:
+        words = np.bincount(owner, logit[bucket], len(names))
+        return np.bincount(every.text, share * words[every.word], len(texts)) + bias
+
+    for epoch in range(1, epochs + 1):
+        logit = softmax @ embedding
+        p = _sigmoid(logits_of(logit, bias[0]))
+        loss = -np.where(toxic > 0, np.log(p + 1e-12), np.log(1 - p + 1e-12))[held if held.any() else slice(None)].mean()
+        if loss < best[0]:
+            whole = np.zeros(BUCKETS, np.float32)
+            whole[rows] = logit
+            best = (loss, whole, float(bias[0]))
+        error = np.where(held, 0, p - toxic) / (~held).sum()
+        to_words = np.bincount(every.word[fits], (share * error[every.text])[fits], len(names))
+        to_buckets = np.bincount(bucket, to_words[owner], len(rows)).astype(np.float32)
+        if shorten is None:
+            shorten = sparse * float(np.abs(to_buckets).max(initial=0))
+        slope = rate * min(1.0, 2 * (1 - epoch / (epochs + 1)))
+        grads = (softmax[:, None] * to_buckets[None, :], embedding @ to_buckets, np.array([error.sum()], np.float32))
+        for k, (x, g, (m, v)) in enumerate(zip((embedding, softmax, bias), grads, state)):
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            size, scale = (slope, v.mean() if x.size else 1.0) if not k else (0.02, v)
+            step = size / (np.sqrt(scale / (1 - 0.99**epoch)) + 1e-12)
+            x -= (step * m / (1 - 0.9**epoch)).astype(np.float32)
+            if not k:
+                length = np.sqrt((x * x).sum(0)) + 1e-12
+                x *= np.maximum(0, 1 - step * shorten * np.sqrt((softmax * softmax).sum()) / length).astype(np.float32)
+        if epoch % 25 == 0:  # what has become zero stays out
+            alive = (embedding != 0).any(0)
+            place, keep = np.cumsum(alive) - 1, alive[bucket]
+            bucket, owner, rows, embedding = place[bucket[keep]], owner[keep], rows[alive], np.ascontiguousarray(embedding[:, alive])
+            state[0] = [np.ascontiguousarray(x[:, alive]) for x in state[0]]
+    model = Model(best[1], best[2], 1.0, 0.0)
+    if len(set(toxic[held].tolist())) == 2:
+        bucket, owner = bags(names)
+        model.slope, model.offset = _logistic(logits_of(best[1], best[2])[held], toxic[held])
     return model
 
 
@@ -163,13 +187,20 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> Model:
+    """A model of the sampled texts, calibrated to the shares of both labels in the whole table."""
     marked = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isNotNull() & (crc_mod("doc_id", 4) != 2)).distinct()  # an id that is labelled very often is one row
-    chosen = hash_sample(marked.filter("toxic = 1"), "doc_id", sample[0]).union(hash_sample(marked.filter("toxic = 0"), "doc_id", sample[1]))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic").distinct().withColumn("order", F.xxhash64("text")).toArrow()  # bounded by the sample
+    parts = [marked.filter(F.col("toxic") == k) for k in (1, 0)]
+    chosen = hash_sample(parts[0], "doc_id", sample[0]).union(hash_sample(parts[1], "doc_id", sample[1]))
+    one = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = one.select("text", "toxic").distinct().withColumn("order", F.xxhash64("text")).toArrow()  # bounded by the sample
     order = np.argsort(rows.column("order").to_numpy(), kind="stable")
     texts = [(t or "").encode() for t in rows.column("text").to_pylist()]
     toxic = rows.column("toxic").to_numpy()
-    return train([texts[i] for i in order], toxic[order])
+    model = train([texts[i] for i in order], toxic[order])
+    whole, taken = {r.toxic: r["count"] for r in marked.groupBy("toxic").count().collect()}, {r.toxic: r["count"] for r in chosen.groupBy("toxic").count().collect()}
+    if len(taken) == 2:
+        model.offset += float(np.log(whole[1] / whole[0] * taken[0] / taken[1]))
+    return model
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> DataFrame:

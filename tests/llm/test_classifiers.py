@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 
 from quillon.llm import lang_id as L
 from quillon.llm import quality as Q
@@ -88,8 +89,33 @@ def test_toxicity_held_out_and_edges(spark):
 def test_unseen_misspelling_shares_vectors():
     rows = toxic_rows(500, 4)
     model = T.train([t.encode() for _, t, _ in rows], np.array([y for _, _, y in rows]))
-    a, b = model.word_logits([b"worthlesss", b"thereon"])
-    assert a > b + 1
+    (a, n), (b, m) = model.word_sums([b"worthlesss", b"thereon"])
+    assert a / n > b / m + 0.01
+    memory = model.memory()
+    texts = [" ".join(["thereon other inan"] * 12), " ".join(["thereon other inan"] * 12 + ["worthlesss"])]
+    assert model.raw(texts[1].encode(), memory) > model.raw(texts[0].encode(), memory) + 1
+
+
+def test_text_logit_is_the_average_of_its_subwords():
+    """Brute force: each subword of each word, hashed one at a time, averaged with the zero vectors."""
+    r = np.random.default_rng(2)
+    model = T.Model(r.normal(size=T.BUCKETS), -1.5, 1.0, 0.0)
+    for raw in (b"Aa, bcd! 77 bcd \xc3\xa9t\xc3\xa9 x9", b"word " * 300, b"", b"12 34"):
+        values = [model.logit[b] for w in T.words_of(raw) for b in T.bags([w])[0]]
+        want = T.SCALE * sum(map(float, values)) / (len(values) + T.SHRINK) - 1.5
+        assert model.raw(raw, model.memory()) == pytest.approx(want, rel=1e-5)
+    w = b"abcd"
+    assert len(T.bags([w])[0]) == sum(len(w) + 2 - n + 1 for n in range(3, 7)) + 1
+
+
+def test_sampling_keeps_the_labels_shares(spark):
+    """A model of a sample with other shares is calibrated back to those of the table."""
+    rows = toxic_rows(900, 5)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = T.toxicity(spark, docs, labels, (120, 120)).collect()
+    y = dict((i, y) for i, _, y in rows)
+    assert abs(np.mean([x.score for x in got]) - np.mean(list(y.values()))) < 0.1
 
 
 def test_ordinal_regression_orders_grades(spark):
