@@ -13,7 +13,8 @@ held out of training from which on 98 % of the candidates are right. A candidate
 candidate overlaps it. Base spans are valid matches of the base patterns and always stay.
 
 Offsets count code points, ends are exclusive. Defined cases: null text is empty text and has no spans (``redact`` leaves null as it is); null
-ids stay; repeated rows return as often as they occur; an empty table gives no rows; other columns are not read (``redact``
+ids stay; of overlapping candidates of equal score the first in the text stays, then the kind listed first; overlapping spans are redacted as
+one, under the kind of the first and, of those that start together, the longest; very long texts, with very many spans, are taken whole; repeated rows return as often as they occur; an empty table gives no rows; other columns are not read (``redact``
 keeps them, whatever their names).
 """
 
@@ -44,8 +45,6 @@ CUES = (
     ("cue_other", r"(?i)(?:order|isbn|version|date|id|no|nr|ref|part|build|serial|page|invoice|since|year)[^A-Za-z0-9]{0,4}$"),
 )
 BLOCK, BEFORE, AFTER = 256, 24, 12
-#: No threshold lies below this logit, whatever the held-out lines say.
-LEAST_SCORE = 2.0
 
 
 def _digits_of(m: str) -> str:
@@ -106,6 +105,15 @@ def _sums(steps: str) -> str:
     )[0])[0])"""
 
 
+def _ends(spans: str) -> str:
+    """The greatest end of the spans before each (0 before the first), in blocks, so that very many take linear time."""
+    blocks = f"transform(sequence(0, int((size({spans}) - 1) div {BLOCK})), b -> transform(slice({spans}, b * {BLOCK} + 1, {BLOCK}), x -> x.e))"
+    return f"""if(size({spans}) = 0, array(), transform(array({blocks}), bs -> transform(
+        array(aggregate(bs, array(0), (a, b) -> array_append(a, greatest(element_at(a, -1), array_max(b))))),
+        tops -> flatten(transform(bs, (b, i) -> slice(aggregate(b, array(tops[i]), (a, y) -> array_append(a, greatest(element_at(a, -1), y))), 1, size(b))))
+    )[0])[0])"""
+
+
 def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -263,7 +271,7 @@ def fitted(spark: SparkSession, precision: float = 0.98) -> Trees:
             s, t = score[held & (kind == k)], y[held & (kind == k)]
             order = np.argsort(-s, kind="stable")
             good = np.cumsum(t[order]) / np.arange(1, len(order) + 1) >= precision
-            cuts.append(max(LEAST_SCORE, float(s[order][np.flatnonzero(good)[-1]])) if good.any() else 1e9)
+            cuts.append(float(s[order][np.flatnonzero(good)[-1]]) if good.any() else 1e9)
         _MODEL = Trees(prior, trees, tuple(cuts))
     return _MODEL
 
@@ -276,10 +284,13 @@ def with_spans(spark: SparkSession, texts: DataFrame) -> DataFrame:
     out = out.withColumn("_scored", F.expr(f"transform(_more, x -> named_struct('s', x.s, 'p', {model.sql()}, 'k', x.k, 'e', x.e))"))
     out = out.withColumn("_good", F.expr(f"filter(_scored, x -> x.p >= {cut})"))
     plain = "transform(_base, x -> named_struct('s', x.s, 'p', double('infinity'), 'k', x.k, 'e', x.e))"
-    # All by start; a candidate gives way to a better one among its 16 neighbours on either side.
-    out = out.withColumn("_sorted", F.expr(f"if(size(_good) = 0, cast(array() as array<struct<s:int,p:double,k:int,e:int>>), array_sort(concat({plain}, _good), (a, b) -> case when a.s < b.s then -1 when a.s > b.s then 1 when a.p > b.p then -1 when a.p < b.p then 1 else a.k - b.k end))"))
+    # All by start, cut where a span starts behind the ends of all before it; within such a run every overlap is looked at.
+    kind = "array<struct<s:int,p:double,k:int,e:int>>"
+    out = out.withColumn("_sorted", F.expr(f"if(size(_good) = 0, cast(array() as {kind}), array_sort(concat({plain}, _good), (a, b) -> case when a.s < b.s then -1 when a.s > b.s then 1 when a.p > b.p then -1 when a.p < b.p then 1 else a.k - b.k end))"))
+    out = out.withColumn("_ends", F.expr(_ends("_sorted"))).withColumn("_heads", F.expr("filter(transform(_ends, (e, i) -> if(_sorted[i].s >= e, i, -1)), i -> i >= 0)"))
+    out = out.withColumn("_runs", F.expr("transform(_heads, (h, j) -> slice(_sorted, h + 1, coalesce(get(_heads, j + 1), size(_sorted)) - h))"))
     better = "y.s < x.e and x.s < y.e and (y.p > x.p or y.p = x.p and (y.s < x.s or y.s = x.s and y.k < x.k))"
-    out = out.withColumn("_picked", F.expr(f"filter(_sorted, (x, i) -> x.p < double('infinity') and not exists(slice(_sorted, greatest(i - 15, 1), 33), y -> {better}))"))
+    out = out.withColumn("_picked", F.expr(f"flatten(transform(_runs, run -> filter(run, x -> x.p < double('infinity') and not exists(run, y -> {better}))))"))
     key = "x -> named_struct('k', x.k, 's', x.s, 'e', x.e)"
     return out.withColumn("_spans", F.expr(f"array_sort(concat(transform(_base, {key}), transform(_picked, {key})))")).withColumn("_base", F.expr(f"transform(_base, {key})"))
 
@@ -300,10 +311,10 @@ def find_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def redact(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The documents, columns as they are, with every span replaced by its kind in brackets; n_chars follows the text."""
     rows = docs.select(F.struct("*").alias("_row"), F.coalesce("text", F.lit("")).alias("_t"))
-    out = with_spans(spark, rows).withColumn("_by_start", F.expr("array_sort(transform(_spans, x -> named_struct('s', x.s, 'e', x.e, 'k', x.k)))"))
+    out = with_spans(spark, rows).withColumn("_by_start", F.expr("array_sort(transform(_spans, x -> named_struct('s', x.s, 'o', -x.e, 'k', x.k, 'e', x.e)))"))
     names = ", ".join(f"'[{k.upper()}]'" for k in KINDS)
-    end = "coalesce(array_max(transform(slice(_by_start, greatest(i - 15, 1), least(i, 16)), y -> y.e)), 0)"
-    pieces = f"transform(_by_start, (x, i) -> if(i = 0 or x.s >= {end}, concat(substring(_t, if(i = 0, 0, {end}) + 1, x.s - if(i = 0, 0, {end})), array({names})[x.k]), ''))"
+    out = out.withColumn("_past", F.expr(_ends("_by_start")))
+    pieces = f"transform(_by_start, (x, i) -> if(i = 0 or x.s >= _past[i], concat(substring(_t, _past[i] + 1, x.s - _past[i]), array({names})[x.k]), ''))"
     clean = f"if(size(_spans) = 0, _row.text, concat(array_join({pieces}, ''), substring(_t, array_max(transform(_by_start, y -> y.e)) + 1)))"
     out = out.withColumn("_clean", F.expr(clean))
     kept = []

@@ -100,3 +100,28 @@ def test_redact(spark):
     got = {r.doc_id: (r.text, r.n_chars) for r in out.collect()}
     assert got[1] == ("hi [EMAIL] and [IP]!", 20) and got[2] == (None, None) and got[3] == ("clean", 5)
     assert "1111" not in got[4][0] and got[4][0].endswith(" x")
+
+
+def test_long_overlaps(spark):
+    """One e-mail span over many addresses, and a text of very many spans: nothing of the datum is put out."""
+    inner = "".join(f"1.2.3.{i}%" for i in range(40))
+    many = "call +49 30 1234567 or " * 3000
+    docs = spark.createDataFrame([(1, f"to {inner}x@mail.org end", 3), (2, many, 3), (1, f"to {inner}x@mail.org end", 3)], "doc_id long, text string, _ends int")
+    got = [r.text for r in P.redact(spark, docs).collect()]
+    assert got[0] == got[2] == "to [EMAIL] end" and got[1] == "call [PHONE] or " * 3000
+    assert P.redact(spark, docs.limit(0)).count() == 0
+
+
+def test_selection_equals_brute_force(spark):
+    """Every selected candidate is the best of those that overlap it, however many start within it."""
+    import random
+
+    r = random.Random(3)
+    lines = [t for t, *_ in P.fixture(400, seed=21)]
+    texts = ["; ".join(r.choices(lines, k=12)) for _ in range(30)] + [",".join(f"0{i % 90 + 10}0/{1000000 + i}" for i in range(600))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, _t string")
+    for row in P.with_spans(spark, rows).select("_base", "_good", "_spans").collect():
+        spans = [(0.0, x.s, x.k, x.e) for x in row._base] + [(-x.p, x.s, x.k, x.e) for x in row._good]
+        base, good = spans[: len(row._base)], spans[len(row._base) :]
+        keep = [x for x in good if not any(b[1] < x[3] and x[1] < b[3] for b in base) and not any(y < x and y[1] < x[3] and x[1] < y[3] for y in good)]
+        assert sorted((x.k, x.s, x.e) for x in row._spans) == sorted((x[2], x[1], x[3]) for x in base + keep)
