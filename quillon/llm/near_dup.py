@@ -16,9 +16,12 @@ that most others were made from. First every member is paired with its buckets'
 far, and in each bucket that still has members of several classes, ``HUBS`` members of the smallest ones meet all members of
 other classes. What is then left in buckets of several classes meets by a prefix filter, which is exact: in one order of all
 shingles, rare ones first, the first shingle that two texts of similarity 0.8 have in common lies within the first fifth of either, and
-the shares behind it bound their similarity. Only pairs of different classes within that bound are made. All pairs are
-verified on the whole shingle sets (set or probability Jaccard of at least 0.8) and join into classes by spreading
-least labels with pointer jumping, in Spark.
+the shares behind it bound their similarity. Texts of different classes within that bound are compared in the task, and each text
+hands on its ``NEAREST`` likeliest partners; classes are formed anew, and as long as a text had more, this goes on with more of them, so
+that a text that has joined a class need not meet all of it and none is left out. All pairs are
+verified on the whole shingle sets (set or probability Jaccard of at least 0.8), after a bound that is exact as well: the parities of
+a text's shingles in ``PARITIES`` cells differ in no more cells than the texts in shingles. Links join into classes by
+spreading least labels with pointer jumping, in Spark.
 
 No key is joined in one task if it is frequent: a digest, bucket or shingle with more rows than ``LEAST_HOT`` and than one in ``MOST_HOT``
 of all is broadcast (at most ``MOST_HOT`` of these) or salted. What the driver sees are counts, and the ``FREQUENT`` most frequent shingles of the last step.
@@ -39,12 +42,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import deal_join, frequent, hot_limit, materialise, mix64, prefix_hash, raw_texts, slices
+from ._common import deal_join, even_join, frequent, hot_limit, materialise, mix64, prefix_hash, raw_texts, slices
 
 SHINGLE, BANDS, ROWS, LEAST = 5, 25, 5, 0.8
 COMPONENTS = BANDS * ROWS
 #: Members of a bucket that meet all others in one round, such rounds, and the most shingles whose frequency is sent.
 HUBS, ROUNDS, FREQUENT = 4, 1, 1 << 20
+#: Cells of the parity bound, and partners that a text hands on in the first round of the prefix filter (eight times as many in each that follows).
+PARITIES, NEAREST = 1024, 4
 #: Bits of the filter that spares the second pass most texts; when full it lets more through.
 FILTER_BITS = 1 << 24
 
@@ -195,6 +200,29 @@ def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) ->
     return plain, float((1 / (above / p + under / q)).sum())
 
 
+def parities(sets: list[tuple[np.ndarray, np.ndarray]]) -> list[bytes]:
+    """For each set a bit a cell: whether the cell has an odd number of its elements."""
+    out = []
+    for e, _ in sets:
+        cell = (e >> np.uint64(7)) % np.uint64(PARITIES)
+        out.append(np.packbits(np.bincount(cell.astype(np.int64), minlength=PARITIES).astype(np.uint8) & 1).tobytes())
+    return out
+
+
+def possible(bits_a, size_a, weight_a, bits_b, size_b, weight_b) -> np.ndarray:
+    """How far the parities leave room for a similarity of 0.8: at least 0 where it is possible.
+
+    With d elements in one set only, set Jaccard is 0.8 or more if 9 d <= |a| + |b|, and probability Jaccard at most
+    (1 - q) / (1 + q) for q = d / 2 W, W the greater weight, since an element weighs 1 at least. The parities differ in d cells at most.
+    """
+    differ = np.bitwise_count(bits_a ^ bits_b).sum(-1, dtype=np.int64)
+    return np.maximum(size_a + size_b, 2 * np.maximum(weight_a, weight_b)) - 9 * differ
+
+
+def _bits(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, PARITIES // 64)
+
+
 def _pack(elements: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
     return elements.tobytes(), b"" if not len(counts) or counts.max() == 1 else counts.astype(np.uint32).tobytes()
 
@@ -250,51 +278,63 @@ def _shingles_of(spark: SparkSession, docs: DataFrame, wanted: DataFrame) -> Dat
                 continue
             part = batch.filter(pa.array(hit))
             found = {d: raw for d, raw in zip(part.column(1).to_pylist(), raw_texts(part))}  # repeated rows once
-            rows = [(d, *_pack(*x)) for d, x in zip(found, shingle_sets(list(found.values())))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows)], ["digest", "elements", "weights"])
+            sets = shingle_sets(list(found.values()))
+            rows = [(d, *_pack(*x), len(x[0]), int(x[1].sum()), b) for d, x, b in zip(found, sets, parities(sets))]
+            kinds = (pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["digest", "elements", "weights", "size", "weight", "bits"])
 
-    found = rows.select("text", "digest", *spots).mapInArrow(run, "digest binary, elements binary, weights binary")
+    found = rows.select("text", "digest", *spots).mapInArrow(run, "digest binary, elements binary, weights binary, size long, weight long, bits binary")
     return found.dropDuplicates(["digest"]).join(wanted.select("digest"), "digest", "left_semi")
 
 
-def _with_sets(pairs: DataFrame, sets: DataFrame, key: str, elements: str, weights: str, rows: int) -> DataFrame:
-    """Pairs with the set of one end; an end of very many pairs is dealt to several tasks, with a copy of its set each."""
+def _with_sets(pairs: DataFrame, sets: DataFrame, key: str, names: list[str], rows: int) -> DataFrame:
+    """Pairs with columns of one end's set; an end of very many pairs is dealt to several tasks, with a copy of its set each."""
     limit = hot_limit(rows)
     hot = pairs.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).cast("int").alias("salts"))
     hot = F.broadcast(hot)  # at most MOST_HOT
     spread = F.coalesce(F.pmod(F.xxhash64("a", "b"), "salts").cast("int"), F.lit(0))
     left = pairs.join(hot, key, "left").withColumn("salt", spread).drop("salts")
-    named = sets.select(F.col("digest").alias(key), F.col("elements").alias(elements), F.col("weights").alias(weights))
+    named = sets.select(F.col("digest").alias(key), *[F.col(c).alias(f"{key}_{c}") for c in names])
     right = named.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
     return left.join(right, [key, "salt"]).drop("salt")
 
 
 def _verified(spark: SparkSession, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, alike) for pairs of digests."""
+    """(a, b, alike) for pairs of digests: first by the parities, which are small, then by the sets of those that may be alike."""
     pairs = materialise(spark, pairs.select("a", "b"), "pairs")
-    n = pairs.count()
+    n, short, long = pairs.count(), ["bits", "size", "weight"], ["elements", "weights"]
 
-    def run(batches):
+    def bound(batches):
+        for batch in slices(batches, 4096):
+            c = dict(zip(batch.schema.names, batch.columns))
+            sides = [x for k in "ab" for x in (_bits(c[f"{k}_bits"]), c[f"{k}_size"].to_numpy(), c[f"{k}_weight"].to_numpy())]
+            yield pa.RecordBatch.from_arrays([c["a"], c["b"], pa.array(possible(*sides) >= 0, pa.bool_())], ["a", "b", "may"])
+
+    def exact(batches):
         for batch in slices(batches, 64):
             alike = []
             for ea, wa, eb, wb in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
                 alike.append(max(similarity(*_unpack(ea, wa), *_unpack(eb, wb))) >= LEAST)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(alike, pa.bool_())], ["a", "b", "alike"])
 
-    both = _with_sets(_with_sets(pairs, sets, "a", "ea", "wa", n), sets, "b", "eb", "wb", n).select("a", "b", "ea", "wa", "eb", "wb")
-    return materialise(spark, both.mapInArrow(run, "a binary, b binary, alike boolean"), "checked")
+    both = _with_sets(_with_sets(pairs, sets, "a", short, n), sets, "b", short, n)
+    bounded = materialise(spark, both.mapInArrow(bound, "a binary, b binary, may boolean"), "bounded")
+    both = _with_sets(_with_sets(bounded.filter("may").select("a", "b"), sets, "a", long, n), sets, "b", long, n).select("a", "b", "a_elements", "a_weights", "b_elements", "b_weights")
+    checked = materialise(spark, both.mapInArrow(exact, "a binary, b binary, alike boolean"), "checked")
+    return checked.union(bounded.filter("not may").select("a", "b", F.lit(False).alias("alike")))
 
 
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     """(digest, root): least digest reachable over links (a, b); only digests with links."""
     ends = links.select(F.col("a").alias("x"), F.col("b").alias("y"))
     ends = materialise(spark, ends.union(ends.select("y", "x")).distinct(), "links")
+    rows = ends.count()
     labels = materialise(spark, ends.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("root")), "labels")
     while True:
-        near = ends.join(labels.withColumnRenamed("x", "y"), "y").groupBy("x").agg(F.min("root").alias("other"))
-        step = labels.join(near, "x").select("x", F.least("root", "other").alias("root"), F.col("root").alias("old"))
+        near = even_join(ends, labels.withColumnRenamed("x", "y"), "y", rows).groupBy("x").agg(F.min("root").alias("other"))
+        step = materialise(spark, labels.join(near, "x").select("x", F.least("root", "other").alias("root"), F.col("root").alias("old")), "step")
         jump = step.select(F.col("x").alias("root"), F.col("root").alias("next"))
-        step = step.join(jump, "root", "left").select("x", F.least("root", F.coalesce("next", "root")).alias("root"), "old")
+        step = even_join(step, jump, "root", rows, "left").select("x", F.least("root", F.coalesce("next", "root")).alias("root"), "old")
         step = materialise(spark, step, "labels")
         labels = step.select("x", "root")
         if step.filter(F.col("root") != F.col("old")).isEmpty():
@@ -320,7 +360,7 @@ def _rooted(spark: SparkSession, rows: DataFrame, links: DataFrame) -> DataFrame
     """Rows with their digest's class."""
     if links.isEmpty():
         return rows.withColumn("root", F.col("digest"))
-    return rows.join(components(spark, links), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    return rows.drop("root").join(components(spark, links), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
 
 
 def prefixes(elements: np.ndarray, weights: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -333,9 +373,32 @@ def prefixes(elements: np.ndarray, weights: np.ndarray, rank: np.ndarray) -> tup
     return elements[order[:n]], behind[:n]
 
 
-def _by_prefix(spark: SparkSession, sets: DataFrame, left: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different classes that may be alike, from (digest, root): by shared prefix shingles."""
-    mine = materialise(spark, sets.join(left, "digest").select("digest", "root", "elements", "weights"), "left")
+def meet(x: dict, y: dict, most: int) -> list[tuple[int, int, bool]]:
+    """For each text of x its likeliest partners in y, at most ``most``: (place in x, place in y, whether there were more)."""
+    out = []
+    for at in range(0, len(x["root"]), 64):
+        one = {k: v[at : at + 64] for k, v in x.items()}
+        common = np.minimum((one["size"] - one["place"])[:, None], (y["size"] - y["place"])[None, :])
+        plain = common / (one["size"][:, None] + y["size"][None, :] - common)
+        weighted = 1 / (1 / one["share"][:, None] + 1 / y["share"][None, :] - 1)
+        i, j = np.nonzero((np.maximum(plain, weighted) >= LEAST - 1e-9) & (one["root"][:, None] != y["root"][None, :]))
+        if not len(i):
+            continue
+        room = possible(one["bits"][i], one["size"][i], one["weight"][i], y["bits"][j], y["size"][j], y["weight"][j])
+        may = room >= 0
+        i, j, room = i[may], j[may], room[may]
+        order = np.lexsort((j, -room, i))
+        i, j = i[order], j[order]
+        first = np.searchsorted(i, i, "left")
+        rank, count = np.arange(len(i)) - first, np.searchsorted(i, i, "right") - first
+        out += [(at + int(a), int(b), bool(n > most)) for a, b, r, n in zip(i, j, rank, count) if r < most]
+    return out
+
+
+def _by_prefix(spark: SparkSession, sets: DataFrame, left: DataFrame, tested: DataFrame) -> DataFrame:
+    """Verified pairs (a, b, alike) between the digests of ``left``, beyond those tested: by shared prefix shingles."""
+    left = materialise(spark, left, "left")
+    mine = sets.join(left, "digest")
 
     def count(batches):
         for batch in slices(batches):
@@ -352,7 +415,7 @@ def _by_prefix(spark: SparkSession, sets: DataFrame, left: DataFrame) -> DataFra
         known, often = sent.value
         for batch in slices(batches, 256):
             out = []
-            for digest, root, e, w in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for digest, e, w in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 e, w = _unpack(e, w)
                 if not len(e):
                     continue
@@ -361,25 +424,77 @@ def _by_prefix(spark: SparkSession, sets: DataFrame, left: DataFrame) -> DataFra
                     at = np.minimum(np.searchsorted(known, e), len(known) - 1)
                     rank = np.where(known[at] == e, often[at], 0)
                 first, share = prefixes(e, w, rank)
-                out += [(k, digest, root, len(e), i, s) for i, (k, s) in enumerate(zip(first.view(np.int64).tolist(), share.tolist()))]
-            cols = list(zip(*out)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.float64()))], ["key", "digest", "root", "size", "place", "share"])
+                out += [(k, digest, i, s) for i, (k, s) in enumerate(zip(first.view(np.int64).tolist(), share.tolist()))]
+            cols = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int64(), pa.float64()))], ["key", "digest", "place", "share"])
 
-    keyed = materialise(spark, mine.mapInArrow(keys, "key long, digest binary, root binary, size long, place long, share double"), "prefixes")
+    keyed = mine.select("digest", "elements", "weights").mapInArrow(keys, "key long, digest binary, place long, share double")
+    keyed = materialise(spark, keyed, "prefixes")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     rows = keyed.count()
-    limit = hot_limit(rows)
-    live = materialise(spark, _mixed(keyed, "key", rows, spark), "mixed")
-    salts = F.ceil(F.col("total") / limit).cast("int")
-    every = live.withColumn("salt", F.pmod(F.xxhash64("digest"), salts).cast("int"))
-    others = live.filter("root != main").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    x = others.select("key", "salt", *[F.col(c).alias(f"x_{c}") for c in ("digest", "root", "size", "place", "share")])
-    y = every.select("key", "salt", *[F.col(c).alias(f"y_{c}") for c in ("digest", "root", "size", "place", "share")])
-    # What both can have in common from this shingle on bounds either similarity.
-    most = F.least(F.col("x_size") - F.col("x_place"), F.col("y_size") - F.col("y_place"))
-    plain = most / (F.col("x_size") + F.col("y_size") - most)
-    weighted = 1 / (1 / F.col("x_share") + 1 / F.col("y_share") - 1)
-    near = (F.col("x_root") != F.col("y_root")) & (F.greatest(plain, weighted) >= LEAST - 1e-9)
-    return x.join(y, ["key", "salt"]).filter(near).select(*_pairs(F.col("x_digest"), F.col("y_digest"))).distinct()
+    keyed = materialise(spark, deal_join(keyed, materialise(spark, shared, "shared"), "key", rows, "n").drop("n"), "prefixes")
+    small, limit, most, out = sets.select("digest", "size", "weight", "bits"), hot_limit(rows), NEAREST, None
+    names = ["key", "salt", "x", "digest", "root", "place", "share", "size", "weight", "bits"]
+
+    def compare(most: int):
+        def run(batches):
+            held = None
+
+            def blocks(batches):
+                """Rows of one (key, salt) at a time."""
+                nonlocal held
+                for batch in batches:
+                    table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+                    key, salt = table.column("key").to_numpy(), table.column("salt").to_numpy()
+                    cut = np.flatnonzero((key[1:] != key[:-1]) | (salt[1:] != salt[:-1])) + 1
+                    for i, j in zip([0, *cut.tolist()], cut.tolist()):
+                        yield table.slice(i, j - i)
+                    held = table.slice(int(cut[-1]) if len(cut) else 0)
+                if held is not None and held.num_rows:
+                    yield held
+
+            pairs: list = []
+
+            def batch_of():
+                cols = list(zip(*pairs)) or [()] * 3
+                pairs.clear()
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.binary(), pa.bool_()))], ["a", "b", "more"])
+
+            for block in blocks(batches):
+                side = block.column("x").to_numpy(zero_copy_only=False)
+                if not side.any() or side.all():
+                    continue
+                roots = block.column("root").combine_chunks().dictionary_encode().indices.to_numpy()
+                whole = {"root": roots, "bits": _bits(block.column("bits")), **{c: block.column(c).to_numpy() for c in ("place", "share", "size", "weight")}}
+                digest = block.column("digest").to_pylist()
+                i, j = np.flatnonzero(side), np.flatnonzero(~side)
+                for a, b, more in meet({k: v[i] for k, v in whole.items()}, {k: v[j] for k, v in whole.items()}, most):
+                    a, b = digest[i[a]], digest[j[b]]
+                    pairs.append((min(a, b), max(a, b), more))
+                if len(pairs) > 50_000:
+                    yield batch_of()
+            yield batch_of()
+
+        return run
+
+    while True:
+        now = tested if out is None else tested.union(out)
+        rooted = _rooted(spark, left.select("digest"), now.filter("alike"))
+        live = _mixed(keyed.join(rooted, "digest"), "key", rows, spark)
+        live = materialise(spark, live.join(small, "digest"), "mixed")
+        # Both sides of a frequent shingle are dealt out: cell (i, j) of its square has the i-th part of one and the j-th of the other.
+        parts, own = F.ceil(F.col("total") / limit).cast("int"), F.pmod(F.xxhash64("digest"), F.ceil(F.col("total") / limit)).cast("int")
+        each = F.sequence(F.lit(0), parts - 1)
+        one = live.filter("root != main").withColumn("salt", F.explode(F.transform(each, lambda j: own * parts + j))).withColumn("x", F.lit(True))
+        two = live.withColumn("salt", F.explode(F.transform(each, lambda i: i * parts + own))).withColumn("x", F.lit(False))
+        cells = one.select(*names).union(two.select(*names)).repartition("key", "salt").sortWithinPartitions("key", "salt")
+        found = materialise(spark, cells.mapInArrow(compare(most), "a binary, b binary, more boolean"), "near")
+        fresh = found.select("a", "b").distinct().join(now, ["a", "b"], "left_anti")
+        checked = _verified(spark, fresh, sets)
+        out = checked if out is None else out.union(checked)
+        if found.filter("more").isEmpty():
+            return out
+        most *= 8
 
 
 def _links(spark: SparkSession, docs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -412,8 +527,7 @@ def _links(spark: SparkSession, docs: DataFrame, texts: DataFrame) -> DataFrame:
     links = tested.filter("alike").select("a", "b")
     if live.isEmpty():
         return links
-    pairs = _by_prefix(spark, sets, live.select("digest", "root").distinct()).join(tested, ["a", "b"], "left_anti")
-    return links.union(_verified(spark, pairs, sets).filter("alike").select("a", "b"))
+    return links.union(_by_prefix(spark, sets, live.select("digest").distinct(), tested).filter("alike").select("a", "b"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -173,12 +173,32 @@ def test_prefixes_meet_whenever_texts_are_alike():
     assert met > 100
 
 
+def test_parities_never_rule_out_an_alike_pair():
+    r = np.random.default_rng(4)
+    ruled = 0
+    for _ in range(600):
+        n = int(r.choice([5, 40, 200, 1500]))
+        base = r.integers(0, 2**63, n).astype(np.uint64)
+        sides = []
+        for _ in range(2):
+            e = np.unique(np.concatenate([base[r.random(n) < r.choice([0.9, 0.97, 1])], r.integers(0, 2**63, r.integers(0, n // 8 + 2)).astype(np.uint64)]))
+            sides.append((e, np.where(r.random(len(e)) < r.choice([0, 0.2]), r.integers(1, 9, len(e)), 1)))
+        bits = [np.frombuffer(x, np.uint64)[None, :] for x in N.parities(sides)]
+        room = N.possible(*[y for b, (e, w) in zip(bits, sides) for y in (b, np.array([len(e)]), np.array([w.sum()]))])[0]
+        if max(N.similarity(*sides[0], *sides[1])) >= N.LEAST:
+            assert room >= 0
+        ruled += room < 0
+    assert ruled > 100
+
+
 def test_hot_keys_are_dealt_out(spark, monkeypatch):
     """With limits so low that every path is taken: copies, buckets, pairs and shingles beyond them."""
     from quillon.llm import _common
 
     monkeypatch.setattr(_common, "LEAST_HOT", 3)
     monkeypatch.setattr(N, "HUBS", 1)
+    monkeypatch.setattr(N, "ROUNDS", 0)
+    monkeypatch.setattr(N, "NEAREST", 1)
     r = random.Random(13)
     base, rows = words(r, 100), []
     for k in range(70):
