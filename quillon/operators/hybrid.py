@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from quillon.functions.vectors import Metric
 from quillon.operators.fusion import ReciprocalRank, fuse_two
 from quillon.operators.knn import DEFAULT_EF, knn
-from quillon.operators.text import bm25, parse_query, tokens
+from quillon.operators.text import bm25, parse_query, with_terms
 
 
 class HybridError(ValueError):
@@ -48,30 +48,50 @@ def default_depth(k: int) -> int:
     return max(4 * k, 40)
 
 
-def vector_side(df: DataFrame, query, depth: int, metric: Metric, id_col: str, vector_col: str) -> DataFrame:
-    """(id, rank) of the nearest vectors."""
-    top = knn(df, query, depth, metric, None, id_col, vector_col).select(F.col(id_col).cast("long").alias("id"), "distance")
-    return top.select("id", F.row_number().over(Window.orderBy(F.round("distance", 9), "id")).alias("rank"))  # depth rows at most
+def _ranked(top: DataFrame, order: list) -> DataFrame:
+    return top.select("id", F.row_number().over(Window.orderBy(*order)).alias("rank"))  # depth rows at most
+
+
+def vector_side(df: DataFrame, query, depth: int, metric: Metric, id_col: str, vector_col: str, index=None) -> DataFrame:
+    """(id, rank) of the nearest vectors: by an index where there is one, else exactly."""
+    if index is not None:
+        top = index.search(query, depth, max(depth, DEFAULT_EF))
+    else:
+        top = knn(df, query, depth, metric, None, id_col, vector_col).select(F.col(id_col).cast("long").alias("id"), "distance")
+    return _ranked(top, [F.round("distance", 9), F.col("id")])
 
 
 def text_side(df: DataFrame, text: str, depth: int, id_col: str, text_col: str, config: str = "simple") -> DataFrame:
     """(id, rank) of the best text matches."""
-    terms = tokens(F.col(text_col), config) if isinstance(df.schema[text_col].dataType, T.StringType) else F.col(text_col)
-    query = parse_query(text, config)
-    found = bm25(df.select(F.col(id_col).cast("long").alias("id"), terms.alias("_terms")), query, "_terms")
-    top = found.select("id", "score").orderBy(F.round("score", 9).desc(), "id").limit(depth)
-    return top.select("id", F.row_number().over(Window.orderBy(F.round("score", 9).desc(), "id")).alias("rank"))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text"))
+    if isinstance(df.schema[text_col].dataType, T.StringType):
+        rows = with_terms(rows, "_text", "_terms", config).drop("_text")
+    else:
+        rows = rows.withColumnRenamed("_text", "_terms")
+    order = [F.round("score", 9).desc(), F.col("id")]
+    top = bm25(rows, parse_query(text, config), "_terms").select("id", "score").orderBy(*order).limit(depth)
+    return _ranked(top, order)
 
 
-def hybrid_search(df: DataFrame, id_col: str, vector_col: str, text_col: str, query_text: str, query_vector, k: int = 10, n: int | None = None, rrf_k: float = 60.0, config: str = "simple", metric: Metric = Metric.L2, ef: int = DEFAULT_EF) -> DataFrame:
+def hybrid_search(df: DataFrame, id_col: str, vector_col: str, text_col: str, query_text: str, query_vector, k: int = 10, n: int | None = None, rrf_k: float = 60.0, config: str = "simple", metric: Metric | None = None, ef: int = DEFAULT_EF, indexes: list | None = None) -> DataFrame:
     """(id, score, vector_rank, text_rank), the k best by reciprocal ranks; ids must be unique.
 
     Each side goes ``n`` deep (``max(4 k, 40)``), the vector side no deeper than ``ef``. Blank text leaves the vector side alone.
+    ``indexes`` are the relation's vector indexes: the one on the vector column is searched and tells the metric, and it is an error if
+    there is none or if several disagree. Without them the search is exact by ``metric`` (L2).
     """
     _check(df, id_col, vector_col, text_col, k, n)
     ReciprocalRank(rrf_k)
+    index = None
+    if indexes is not None:
+        there = [x for x in indexes if x.manifest.vector_col == vector_col and x.manifest.id_col == id_col and x.manifest.predicate is None]
+        found = infer_metric(vector_col, [x.manifest.metric for x in there])
+        if metric is not None and metric is not found:
+            raise HybridError(f"the index on {vector_col!r} ranks by {found.name}, not by {metric.name}")
+        index = max(there, key=lambda x: x.manifest.generation)
+        metric = found
     depth = default_depth(k) if n is None else n
-    vector = vector_side(df, query_vector, min(depth, ef), metric, id_col, vector_col)
+    vector = vector_side(df, query_vector, min(depth, ef), metric or Metric.L2, id_col, vector_col, index)
     if query_text is None or not query_text.strip():
         text = vector.limit(0)
     else:

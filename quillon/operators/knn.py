@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.vectors import RANKING, Metric, shown, vector_literal
+from quillon.sources.scratch import scratch_uri
 
 DEFAULT_EF, MAX_EF = 64, 10_000
 #: Query vectors, and their bytes, that one pass over the table serves: bounds of what is broadcast.
@@ -64,6 +65,15 @@ class _Top:
         with np.errstate(invalid="ignore", divide="ignore"):
             return np.where(norm == 0, np.nan, 1 - dot / norm)
 
+    def slack(self, x: np.ndarray) -> np.ndarray:
+        """A bound of how far ``ranks`` may be off, from the rounding of sums of products (queries, rows)."""
+        q, unit = self.queries, 8 * (x.shape[1] + 8) * np.finfo(float).eps
+        with np.errstate(invalid="ignore", over="ignore"):
+            qq, xx = (q * q).sum(1)[:, None], (x * x).sum(1)[None, :]
+            if self.metric is Metric.COSINE:
+                return np.broadcast_to(unit, (len(q), len(x)))
+            return unit * (qq + xx)
+
     def exact(self, q: np.ndarray, x: np.ndarray) -> np.ndarray:
         """Rank values of rows x for one query, summed the plain way."""
         if self.metric is Metric.L2:
@@ -75,53 +85,89 @@ class _Top:
             return np.where(norm == 0, np.nan, 1 - (x * q).sum(1) / norm)
 
 
-def knn_batch(spark: SparkSession, df: DataFrame, queries: list[tuple[int, list[float]]], k: int, metric: Metric = Metric.L2, where=None, id_col: str = "id", vector_col: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
-    """(query_id, rank, id, distance): the k nearest rows of each of many queries.
+def query_blocks(spark: SparkSession, queries, block: int = QUERY_BLOCK):
+    """Queries as lists [(query_id, vector)] of a bounded size, one at a time; from a list, or from a table (query_id, vector)
+    that may be larger than the driver: a block is dealt by the hash of its ids."""
+    if isinstance(queries, DataFrame):
+        rows = queries.select(F.col(queries.columns[0]).cast("long").alias("query_id"), F.col(queries.columns[1]).cast("array<double>").alias("v")).filter("v is not null")
+        size = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
+        each = max(1, min(block, QUERY_BYTES // (8 * (size.d or 1))))
+        blocks = max(1, -(-size.n * 5 // (4 * each))) if size.n > each else 1  # a fifth more, as hashes deal unevenly
+        for k in range(blocks):
+            part = rows if blocks == 1 else rows.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
+            yield [(r.query_id, list(r.v)) for r in part.collect()]
+        return
+    each = max(1, min(block, QUERY_BYTES // (8 * max([1, *(len(v) for _, v in queries)]))))
+    for at in range(0, max(1, len(queries)), each):
+        yield queries[at : at + each]
+
+
+def rank_partitions(spark: SparkSession, rows: DataFrame, part: list[tuple[int, list[float]]], k: int, metric: Metric) -> DataFrame:
+    """(query_id, id, _rank): each partition's k nearest of (id, v) for every query of one block.
+
+    Rows are chosen by a product formula with a bound of its error, and then ranked by the plain sums, so the result is exact.
+    """
+    if not part:
+        return spark.createDataFrame([], "query_id long, id long, _rank double")
+    if len({len(v) for _, v in part}) > 1:
+        raise ValueError("query vectors have different dimensions")
+    sent = spark.sparkContext.broadcast((np.array([i for i, _ in part], np.int64), np.array([v for _, v in part], float).reshape(len(part), -1)))
+
+    def run(batches):
+        names, q = sent.value
+        top = _Top(k, metric, q)
+        kept = [(np.empty(0), np.empty(0, np.int64)) for _ in names]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = batch.column(1)
+            x = column.flatten().to_numpy().reshape(batch.num_rows, -1) if len(column.flatten()) == batch.num_rows * q.shape[1] else None
+            if x is None:
+                wrong = next(n for n in (len(v) for v in column.to_pylist()) if n != q.shape[1])
+                raise ValueError(f"vector dimension mismatch: expected {q.shape[1]}, got {wrong}")
+            ids = batch.column(0).to_numpy()
+            rough, slack = np.nan_to_num(top.ranks(x), nan=np.inf, posinf=np.inf), np.nan_to_num(top.slack(x), nan=np.inf, posinf=np.inf)
+            near = min(k, len(ids))
+            for i in range(len(names)):
+                if near < len(ids):  # what may be among the k best, or tie with the last of them at nine decimals
+                    worst = np.partition(rough[i] + slack[i], near - 1)[near - 1]
+                    pick = np.flatnonzero(~(rough[i] - slack[i] > worst + 2e-9))
+                else:
+                    pick = np.arange(len(ids))
+                d = np.concatenate((kept[i][0], top.exact(q[i], x[pick])))
+                who = np.concatenate((kept[i][1], ids[pick]))
+                best = np.lexsort((who, np.round(d, 9)))[:k]
+                kept[i] = (d[best], who[best])
+        for i, (d, who) in enumerate(kept):
+            if len(who):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), names[i])), pa.array(who), pa.array(d)], ["query_id", "id", "_rank"])
+
+    return rows.mapInArrow(run, "query_id long, id long, _rank double")
+
+
+def knn_batch(spark: SparkSession, df: DataFrame, queries, k: int, metric: Metric = Metric.L2, where=None, id_col: str = "id", vector_col: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, rank, id, distance): the k nearest rows of each of many queries, a list or a table (query_id, vector).
 
     Each partition keeps its own k best for every query (numpy on Arrow batches), so the shuffle carries k rows a query and
-    partition, however large the table is. Queries go out in blocks of a fixed size, one pass each.
+    partition, however large the table is. Queries go out in blocks of a fixed size, one pass each; with several blocks each one's
+    answers are written before the next is read, so neither driver nor executors hold more than one.
     """
     rows = (df if where is None else df.filter(where)).filter(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    out = None
-    block = max(1, min(block, QUERY_BYTES // (8 * max([1, *(len(v) for _, v in queries)]))))
-    for at in range(0, max(1, len(queries)), block):
-        part = queries[at : at + block]
-        sent = spark.sparkContext.broadcast((np.array([i for i, _ in part], np.int64), np.array([v for _, v in part], float).reshape(len(part), -1)))
-
-        def run(batches, sent=sent):
-            names, q = sent.value
-            if not len(names):
-                return
-            top = _Top(k, metric, q)
-            kept = [(np.empty(0), np.empty(0, np.int64)) for _ in names]
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                column = batch.column(1)
-                x = column.flatten().to_numpy().reshape(batch.num_rows, -1) if len(column.flatten()) == batch.num_rows * q.shape[1] else None
-                if x is None:
-                    wrong = next(n for n in (len(v) for v in column.to_pylist()) if n != q.shape[1])
-                    raise ValueError(f"vector dimension mismatch: expected {wrong}, got {q.shape[1]}")
-                ids = batch.column(0).to_numpy()
-                rough = np.nan_to_num(top.ranks(x), nan=np.inf)
-                near = min(k + 8, len(ids))
-                for i in range(len(names)):
-                    pick = np.argpartition(rough[i], near - 1)[:near] if near < len(ids) else np.arange(len(ids))
-                    if near < len(ids):  # rows that tie with the last one come along
-                        pick = np.flatnonzero(rough[i] <= rough[i][pick].max() + 1e-9)
-                    d = np.concatenate((kept[i][0], top.exact(q[i], x[pick])))
-                    who = np.concatenate((kept[i][1], ids[pick]))
-                    best = np.lexsort((who, np.round(d, 9)))[:k]
-                    kept[i] = (d[best], who[best])
-            for i, (d, who) in enumerate(kept):
-                if len(who):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), names[i])), pa.array(who), pa.array(d)], ["query_id", "id", "_rank"])
-
-        found = rows.mapInArrow(run, "query_id long, id long, _rank double")
-        out = found if out is None else out.union(found)
     by_query = Window.partitionBy("query_id").orderBy(F.round("_rank", 9).asc_nulls_last(), F.col("id"))
-    best = out.withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= k)
-    return best.select("query_id", F.col("rank").cast("long").alias("rank"), "id", shown(metric, F.col("_rank")).alias("distance"))
+    waiting, out = None, None
+
+    def best(part):
+        return rank_partitions(spark, rows, part, k, metric).withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= k)
+
+    for part in query_blocks(spark, queries, block):
+        if waiting is not None:
+            uri = scratch_uri(spark, "neighbours")
+            waiting.write.parquet(uri)
+            done = spark.read.schema(waiting.schema).parquet(uri)
+            out = done if out is None else out.union(done)
+        waiting = best(part)
+    out = waiting if out is None else out.union(waiting)
+    return out.select("query_id", F.col("rank").cast("long").alias("rank"), "id", shown(metric, F.col("_rank")).alias("distance"))
 
 
 def knn_per_group(df: DataFrame, query, k: int, group_col: str, metric: Metric = Metric.L2, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:

@@ -16,7 +16,7 @@ from quillon.operators.fusion import ReciprocalRank
 from quillon.operators.graph import Options
 from quillon.operators.index import VectorIndex
 from quillon.operators.knn import distance_concentration, knn, knn_batch, knn_per_group, post_filter
-from quillon.operators.text import bm25, parse_query, tokens
+from quillon.operators.text import bm25, matches, parse_query, tokens, with_terms
 from quillon.sources.scratch import scratch_uri
 from quillon.sources.tables import table
 
@@ -198,8 +198,7 @@ def knn_null_query(spark, d):
     row_number() OVER (PARTITION BY a.vec_id ORDER BY round(power(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 2), 9), b.vec_id) AS rank
     FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND b.label <= 4) WHERE rank <= 10""")
 def knn_batch_filtered(spark, d):
-    asked = [(r.vec_id, list(map(float, r.embedding))) for r in embeddings(spark, d).filter("vec_id % 50 = 0").collect()]  # the query set
-    return knn_batch(spark, embeddings(spark, d), asked, 10, where="label <= 4", id_col="vec_id").withColumn("distance", F.round("distance", 6))
+    return knn_batch(spark, embeddings(spark, d), _asked(spark, d), 10, where="label <= 4", id_col="vec_id").withColumn("distance", F.round("distance", 6))
 
 
 @query("""SELECT label, rank, vec_id, round(dist, 6) AS distance FROM (SELECT label, vec_id, list_distance(embedding::DOUBLE[], q) AS dist,
@@ -248,6 +247,30 @@ def anti_join_negation(spark, d):
     return e.join(e.filter("label >= 3").select("vec_id"), "vec_id", "left_anti").select("vec_id")
 
 
+@query("SELECT vec_id FROM embeddings WHERE label = (SELECT max(label) FROM embeddings WHERE label < 0) OR label >= (SELECT min(label) FROM embeddings WHERE label < 0)")
+def filter_null_bound(spark, d):
+    """Bounds that turn out to be null at run time match nothing."""
+    e = embeddings(spark, d)
+    bounds = e.filter("label < 0").agg(F.max("label").alias("high"), F.min("label").alias("low"))  # one row
+    return e.crossJoin(F.broadcast(bounds)).filter("label = high or label >= low").select("vec_id")
+
+
+_NOT_IN = "SELECT vec_id, {kind} AS kind FROM (SELECT vec_id, CASE WHEN label <> 5 THEN label END AS label FROM embeddings) WHERE label NOT IN (SELECT {value} FROM embeddings WHERE {where})"
+
+
+@query(" UNION ALL ".join(_NOT_IN.format(kind=k, value=v, where=w) for k, (v, w) in enumerate((("CASE WHEN vec_id % 3 = 0 THEN label END", "label < 3"), ("label", "label < 3"), ("label", "label < 0")))))
+def not_in_with_nulls(spark, d):
+    """A null among the values, none among them, and no values."""
+    e = embeddings(spark, d)
+    left = e.select("vec_id", F.expr("case when label <> 5 then label end").alias("label"))
+    arms = (e.filter("label < 3").select(F.expr("case when vec_id % 3 = 0 then label end").alias("v")), e.filter("label < 3").select(F.col("label").alias("v")), e.filter("label < 0").select(F.col("label").alias("v")))
+    out = None
+    for k, values in enumerate(arms):
+        part = E.not_in(left, "label", values, "v").select("vec_id", F.lit(k).alias("kind"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("SELECT count(*) AS n FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings WHERE label = 2)")
 def semi_join_count(spark, d):
     docs = table(spark, d, "documents").select("doc_id")
@@ -273,7 +296,7 @@ def selectivity_labels(spark, d):
 
 @query("SELECT vec_id, ntile(7) OVER (ORDER BY (vec_id * 2654435761) % 4294967296, vec_id)::INTEGER AS label FROM embeddings")
 def selectivity_labels_scaled(spark, d):
-    return E.scaled_labels(embeddings(spark, d).select("vec_id"), [_hash(), F.col("vec_id")], 7)
+    return E.ntile_labels(embeddings(spark, d).select("vec_id"), [_hash(), F.col("vec_id")], 7)
 
 
 _TRUTH = """SELECT a.vec_id AS query_id, b.vec_id AS id, b.label, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(power(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 2), 9), b.vec_id) AS rank
@@ -281,7 +304,8 @@ _TRUTH = """SELECT a.vec_id AS query_id, b.vec_id AS id, b.label, row_number() O
 
 
 def _asked(spark, d):
-    return [(r.vec_id, list(map(float, r.embedding))) for r in embeddings(spark, d).filter("vec_id % 50 = 0").collect()]
+    """The query set: a table."""
+    return embeddings(spark, d).filter("vec_id % 50 = 0").select("vec_id", "embedding")
 
 
 @query(f"SELECT query_id, array_to_string(list(id ORDER BY rank), ',') AS ids FROM ({_TRUTH}) WHERE rank <= 10 GROUP BY query_id")
@@ -362,9 +386,9 @@ _LISTS = "(SELECT 0 AS list_id, vec_id AS id, row_number() OVER (ORDER BY (vec_i
 
 def _lists(spark, d):
     e = embeddings(spark, d)
-    one = e.select(F.lit(0).alias("list_id"), F.col("vec_id").alias("id"), F.row_number().over(Window.orderBy((F.col("vec_id") * 7919) % 1009, "vec_id")).alias("rank"))
-    two = e.filter("label <= 4").select(F.lit(1).alias("list_id"), F.col("vec_id").alias("id"), F.row_number().over(Window.orderBy((F.col("vec_id") * 104729) % 1013, "vec_id")).alias("rank"))
-    return one.unionByName(two)
+    one = E.ranked(e.select("vec_id"), [(F.col("vec_id") * 7919) % 1009, F.col("vec_id")])
+    two = E.ranked(e.filter("label <= 4").select("vec_id"), [(F.col("vec_id") * 104729) % 1013, F.col("vec_id")])
+    return one.select(F.lit(0).alias("list_id"), F.col("vec_id").alias("id"), "rank").unionByName(two.select(F.lit(1).alias("list_id"), F.col("vec_id").alias("id"), "rank"))
 
 
 @query(f"SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM {_LISTS} GROUP BY id ORDER BY round(sum(1.0::DOUBLE / (60 + rank)), 12) DESC, id LIMIT 20")
@@ -377,8 +401,15 @@ def rrf_duplicates(spark, d):
     return ReciprocalRank(0).fuse(_lists(spark, d).withColumn("id", F.col("id") % 50)).select("id", F.round("score", 9).alias("score"))
 
 
+@query(f"SELECT id, round(sum(1.0::DOUBLE / (0 + rank)), 9) AS score FROM (SELECT list_id, CASE WHEN id % 2 = 0 THEN id ELSE -id END AS id, rank // 2 + 1 AS rank FROM {_LISTS}) GROUP BY id ORDER BY round(sum(1.0::DOUBLE / (0 + rank)), 12) DESC, id LIMIT 40")
+def rrf_signed_ids(spark, d):
+    """Pairs of equal ranks, so that ties go by the signed id."""
+    signed = _lists(spark, d).withColumn("id", F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(-F.col("id"))).withColumn("rank", F.expr("rank div 2 + 1"))
+    return ReciprocalRank(0).top(signed, 40).select("id", F.round("score", 9).alias("score"))
+
+
 _WORDS = ("the", "of", "and")
-_TERMS = "(SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents)"
+_TERMS = "(SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents)"
 _BM25 = (
     f"SELECT doc_id AS id, " + " + ".join(f"ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * size / mean))" for i in range(3)) + " AS score FROM (SELECT doc_id, len(w) AS size, "
     + ", ".join(f"len(list_filter(w, lambda x: x = '{w}'))::DOUBLE AS tf{i}" for i, w in enumerate(_WORDS)) + f" FROM {_TERMS}), (SELECT count(*)::DOUBLE AS n, avg(len(w)) AS mean, "
@@ -388,15 +419,13 @@ _BM25 = (
 
 @query(f"SELECT id, round(score, 6) AS score FROM ({_BM25})")
 def lexical_rank(spark, d):
-    terms = table(spark, d, "documents").select(F.col("doc_id").alias("id"), tokens("text").alias("terms"))
+    terms = with_terms(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), "text", "terms").drop("text")
     return bm25(terms, parse_query("the of and"), "terms").select("id", F.round("score", 6).alias("score"))
 
 
-@query("SELECT doc_id FROM (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents) WHERE (list_contains(w, 'the') AND NOT list_contains(w, 'of')) OR (' ' || array_to_string(w, ' ') || ' ') LIKE '% of the %'")
+@query("SELECT doc_id FROM (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents) WHERE (list_contains(w, 'the') AND NOT list_contains(w, 'of')) OR (' ' || array_to_string(w, ' ') || ' ') LIKE '% of the %'")
 def web_query_match(spark, d):
-    from quillon.operators.text import matches
-
-    terms = table(spark, d, "documents").select("doc_id", tokens("text").alias("terms"))
+    terms = with_terms(table(spark, d, "documents").select("doc_id", "text"), "text", "terms")
     return terms.filter(matches(parse_query('the -of OR "of the"'), F.col("terms"))).select("doc_id")
 
 
@@ -439,19 +468,22 @@ def _index(spark, d, **more):
     return VectorIndex.build(spark, embeddings(spark, d), scratch_uri(spark, "index"), "vec_id", attributes=["label"], shards=2, **more)
 
 
-@query(search_sql(10, where="vec_id % 2 = 1"))
+def _top(spark, d, found, columns=("vec_id",)):
+    """An index's answer in the shape of the exact search: its own distances are sums in single precision."""
+    return found.select(F.col("id").alias("vec_id"), F.round("distance", 4).alias("distance"))
+
+
+@query(search_sql(10, where="vec_id % 2 = 1").replace("round(list_distance(embedding::DOUBLE[], q), 6) AS", "round(list_distance(embedding::DOUBLE[], q), 4) AS"))
 def tombstoned_search(spark, d):
-    """Half of the rows deleted: so few are left that each shard scores them all."""
+    """Half of the rows deleted; the shards' live rows are scored whole, so the answer is exact."""
     index = _index(spark, d, options=Options(m=8, ef_construction=32)).delete(embeddings(spark, d).filter("vec_id % 2 = 0").select("vec_id"))
-    out = index.search(vector_of(spark, d, 0), 10, 1000)
-    return out.select(F.col("id").alias("vec_id"), F.round("distance", 5).alias("distance")).join(search(spark, d, 10**6).withColumnRenamed("distance", "shown"), "vec_id").select("vec_id", F.col("shown").alias("distance"))
+    return _top(spark, d, index.search(vector_of(spark, d, 0), 10, scan_below=1 << 30))
 
 
-@query(search_sql(10, where="vec_id <= 200"))
+@query(search_sql(10, where="label <= 4").replace("round(list_distance(embedding::DOUBLE[], q), 6) AS", "round(list_distance(embedding::DOUBLE[], q), 4) AS"))
 def partial_index_search(spark, d):
-    index = _index(spark, d, where="vec_id <= 200")
-    out = index.search(vector_of(spark, d, 0), 10, 1000)
-    return out.select(F.col("id").alias("vec_id")).join(search(spark, d, 10**6), "vec_id")
+    """An index of the rows that pass a predicate, scored whole."""
+    return _top(spark, d, _index(spark, d, where="label <= 4").search(vector_of(spark, d, 0), 10, scan_below=1 << 30))
 
 
 @query("SELECT vec_id AS id, label FROM embeddings WHERE label = 3")
@@ -459,24 +491,49 @@ def index_unordered_scan(spark, d):
     return _index(spark, d).scan("label = 3")
 
 
-@query("SELECT vec_id AS id, label FROM embeddings WHERE label = 3 AND vec_id % 5 <> 0 UNION ALL SELECT vec_id + 100000, label FROM embeddings WHERE vec_id < 20 AND label = 3")
+@query("SELECT vec_id AS id, label FROM embeddings WHERE label = 3 AND vec_id % 5 <> 0 UNION ALL SELECT vec_id + 100000, label FROM embeddings WHERE vec_id < 20 AND label = 3 UNION ALL SELECT vec_id + 200000, label FROM embeddings WHERE vec_id < 40 AND label = 3")
 def index_lifecycle(spark, d):
-    """Insert, delete, compact, then an unordered scan."""
+    """Insert, delete, compact, insert from an older generation, reopen, then an unordered scan."""
     e = embeddings(spark, d)
-    index = _index(spark, d).insert(e.filter("vec_id < 20").withColumn("vec_id", F.col("vec_id") + 100000)).delete(e.filter("vec_id % 5 = 0").select("vec_id"))
-    return index.compact().scan("label = 3")
+    shifted = lambda most, by: e.filter(F.col("vec_id") < most).withColumn("vec_id", F.col("vec_id") + by)
+    index = _index(spark, d).insert(shifted(20, 100000)).delete(e.filter("vec_id % 5 = 0").select("vec_id"))
+    index.compact()
+    index.insert(shifted(40, 200000))
+    return VectorIndex.open(spark, index.uri).scan("label = 3")
+
+
+def _judged(spark, d, found, truth, violations):
+    """One row: how many queries and rows, what breaks the contract of a search, and whether recall reaches 0.9."""
+    lag = F.lag("distance").over(Window.partitionBy("query_id").orderBy("rank"))
+    rows = found.withColumn("_falls", F.coalesce(F.col("distance") < lag - 1e-6, F.lit(False))).join(embeddings(spark, d).select(F.col("vec_id").alias("id"), "label"), "id")
+    hits = truth.select("query_id", "id").join(found.select("query_id", "id"), ["query_id", "id"], "left_semi")
+    figures = rows.agg(
+        F.countDistinct("query_id").alias("queries"), F.count("*").alias("n"), (F.count("*") - F.countDistinct("query_id", "id")).alias("repeated"), F.sum(F.expr(violations).cast("long")).alias("violations"), F.sum(F.col("_falls").cast("long")).alias("falls"),
+        F.sum(F.when(F.col("rank") > 10, 1).otherwise(0)).alias("beyond"),
+    )
+    return figures.crossJoin(hits.agg(F.count("*").alias("_hits"))).crossJoin(truth.agg(F.count("*").alias("_all"))).select("queries", "n", "repeated", "violations", "falls", "beyond", (F.col("_hits") >= 0.9 * F.col("_all")).alias("recalled"))
+
+
+_JUDGED = "SELECT count(*) AS queries, 10 * count(*) AS n, 0::BIGINT AS repeated, 0::BIGINT AS violations, 0::BIGINT AS falls, 0::BIGINT AS beyond, true AS recalled FROM embeddings WHERE vec_id % 50 = 0"
+
+
+def _walked(spark, d, where, violations):
+    """All queries by walks through the graphs, never by scoring a shard whole, against the exact answers."""
+    found = _index(spark, d).search_batch(_asked(spark, d), 10, where=where, scan_below=0, with_cost=True)
+    return _judged(spark, d, found, knn_batch(spark, embeddings(spark, d), _asked(spark, d), 10, where=where, id_col="vec_id"), violations)
 
 
-@query()
+@query(_JUDGED)
 def ann_search(spark, d):
-    return _index(spark, d).search(vector_of(spark, d, 0), 10)
+    return _walked(spark, d, None, "expansions = 0")
 
 
-@query()
+@query(_JUDGED)
 def ann_filtered(spark, d):
-    return _index(spark, d).search(vector_of(spark, d, 0), 10, where="label = 3")
+    """One label of ten: the walk has to cross what does not match."""
+    return _walked(spark, d, "label = 3", "label <> 3 or expansions = 0 or expansions > 16 * 64 + 64")
 
 
-@query()
+@query(_JUDGED)
 def ann_batch(spark, d):
-    return _index(spark, d).search_batch(_asked(spark, d), 10, where="label <= 4", with_cost=True)
+    return _walked(spark, d, "label <= 4", "label > 4 or expansions = 0 or expansions > 16 * 64 + 64")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from quillon.functions.vectors import Metric
 from quillon.operators import hybrid as H
 from quillon.operators.fusion import ReciprocalRank
-from quillon.operators.text import matches, parse_query, query_tokens, tokens
+from quillon.operators.text import matches, parse_query, query_tokens, stem, tokens, with_terms
 
 
 def lists(spark, *ids):
@@ -37,7 +37,20 @@ def test_query_language(spark):
     assert got("whale OR jumps") == [1, 3]
     assert got("fox -jumps") == [2]
     assert got("") == []
-    assert query_tokens("The Headphones are", "english") == ["headphone"]
+    assert query_tokens("The Headphones are", "english") == ["headphon" + "e"]
+
+
+def test_words_of_any_language_and_stems(spark):
+    texts = ["Été à l'École_No5 Straße", "running hopped agreed flies caresses sky's studying plastered motoring trees ties feed sing falling hissing filing", "日本語 текст", "is was", ""]
+    words = "running hopped agreed caresses skies happy falling hissing filing conflated troubled sized bled sing".split()
+    assert [stem(w) for w in words] == "run hop agree caress ski happi fall hiss file conflate trouble size bled sing".split()
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, body string")
+    for config in ("simple", "english"):
+        got = {r.id: r.t for r in rows.select("id", tokens("body", config).alias("t")).collect()}
+        assert got == {i: query_tokens(t, config) for i, t in enumerate(texts)}
+    assert query_tokens(texts[0]) == ["été", "à", "l", "école", "no5", "straße"]
+    hits = with_terms(rows, "body", "t", "english")
+    assert [r.id for r in hits.filter(matches(parse_query("run -blue", "english"), F.col("t"))).collect()] == [1]
 
 
 @settings(max_examples=200, deadline=None)
@@ -68,3 +81,17 @@ def test_hybrid_null_vectors_and_signed_ties(spark):
     df = spark.createDataFrame([(-100, [1.0], "other"), (100, None, "word")], "id long, v array<float>, t string")
     out = H.hybrid_search(df, "id", "v", "t", "word", [1.0]).collect()
     assert [(r.id, r.vector_rank, r.text_rank) for r in out] == [(-100, 1, None), (100, None, 1)]
+
+
+def test_hybrid_uses_the_index(spark, tmp_path):
+    from quillon.operators.index import VectorIndex
+
+    df = spark.range(300).select("id", F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("v"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("t"))
+    index = VectorIndex.build(spark, df, f"file://{tmp_path}/a", "id", "v", metric=Metric.COSINE, shards=1)
+    got, want = (H.hybrid_search(df, "id", "v", "t", "299", [1.0, 0.2], 5, metric=Metric.COSINE, indexes=x).collect() for x in ([index], None))
+    assert got == want and any(r.text_rank for r in got)
+    assert H.hybrid_search(df, "id", "v", "t", "", [1.0, 0.2], 5, indexes=[index]).collect()[0].vector_rank == 1
+    with pytest.raises(H.HybridError, match="needs an index"):
+        H.hybrid_search(df, "id", "v", "t", "x", [1.0, 0.2], indexes=[])
+    with pytest.raises(H.HybridError, match="ranks by COSINE, not by L2"):
+        H.hybrid_search(df, "id", "v", "t", "x", [1.0, 0.2], metric=Metric.L2, indexes=[index])
