@@ -287,10 +287,10 @@ def _shingles_of(spark: SparkSession, docs: DataFrame, wanted: DataFrame) -> Dat
     return found.dropDuplicates(["digest"]).join(wanted.select("digest"), "digest", "left_semi")
 
 
-def _with_sets(pairs: DataFrame, sets: DataFrame, key: str, names: list[str], rows: int) -> DataFrame:
-    """Pairs with columns of one end's set; an end of very many pairs is dealt to several tasks, with a copy of its set each."""
+def _with_sets(pairs: DataFrame, written: DataFrame, sets: DataFrame, key: str, names: list[str], rows: int) -> DataFrame:
+    """Pairs (as ``written``, a written table of them, and perhaps more columns) with columns of one end's set; an end of very many pairs is dealt to several tasks, with a copy of its set each."""
     limit = hot_limit(rows)
-    hot = pairs.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).cast("int").alias("salts"))
+    hot = written.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).cast("int").alias("salts"))
     hot = F.broadcast(hot)  # at most MOST_HOT
     spread = F.coalesce(F.pmod(F.xxhash64("a", "b"), "salts").cast("int"), F.lit(0))
     left = pairs.join(hot, key, "left").withColumn("salt", spread).drop("salts")
@@ -317,9 +317,10 @@ def _verified(spark: SparkSession, pairs: DataFrame, sets: DataFrame) -> DataFra
                 alike.append(max(similarity(*_unpack(ea, wa), *_unpack(eb, wb))) >= LEAST)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(alike, pa.bool_())], ["a", "b", "alike"])
 
-    both = _with_sets(_with_sets(pairs, sets, "a", short, n), sets, "b", short, n)
+    both = _with_sets(_with_sets(pairs, pairs, sets, "a", short, n), pairs, sets, "b", short, n)
     bounded = materialise(spark, both.mapInArrow(bound, "a binary, b binary, may boolean"), "bounded")
-    both = _with_sets(_with_sets(bounded.filter("may").select("a", "b"), sets, "a", long, n), sets, "b", long, n).select("a", "b", "a_elements", "a_weights", "b_elements", "b_weights")
+    likely = bounded.filter("may").select("a", "b")
+    both = _with_sets(_with_sets(likely, likely, sets, "a", long, n), likely, sets, "b", long, n).select("a", "b", "a_elements", "a_weights", "b_elements", "b_weights")
     checked = materialise(spark, both.mapInArrow(exact, "a binary, b binary, alike boolean"), "checked")
     return checked.union(bounded.filter("not may").select("a", "b", F.lit(False).alias("alike")))
 
