@@ -140,6 +140,13 @@ def literal_problems(spark, d):
     return embeddings(spark, d).select("vec_id", V.literal_problem(text).alias("problem"))
 
 
+@query("SELECT vec_id, len(embedding) AS n, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS total FROM embeddings")
+def cast_round_trip(spark, d):
+    """An array cast to a vector, which checks it, and back."""
+    v = V.to_array(V.validated(F.col("embedding").cast("array<double>")))
+    return embeddings(spark, d).select("vec_id", F.size(v).cast("long").alias("n"), F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double")), 6).alias("total"))
+
+
 # --- exact search ------------------------------------------------------------------------------
 
 
@@ -178,6 +185,14 @@ def knn_filtered_disjunction(spark, d):
     return search(spark, d, 10, where="label = 1 OR NOT (vec_id < 300)", columns=("vec_id", "label"))
 
 
+@query(search_sql(10, where="label = 6"))
+def knn_prepared(spark, d):
+    """A prepared statement: the vector and the bound are parameters of SQL text."""
+    text = """SELECT vec_id, round(sqrt(r), 6) AS distance FROM (SELECT vec_id, aggregate(zip_with(embedding, :q, (x, y) -> (double(x) - y) * (double(x) - y)), 0D, (s, v) -> s + v) AS r FROM {e} WHERE label = :label)
+        ORDER BY round(r, 9), vec_id LIMIT 10"""
+    return spark.sql(text, args={"q": F.array(*[F.lit(x) for x in vector_of(spark, d, 0)]), "label": 6}, e=embeddings(spark, d))
+
+
 @query(search_sql(64))
 def knn_ef_ceiling(spark, d):
     return search(spark, d, 500, ef=64)
@@ -379,6 +394,19 @@ def label_backfill(spark, d):
     return embeddings(spark, d).join(labels, F.col("doc_id") == F.col("vec_id"), "left").select("vec_id", F.coalesce("quality", F.lit(-1)).alias("quality"))
 
 
+@query("SELECT vec_id, i::INTEGER AS place, round(embedding[i]::DOUBLE, 6) AS value FROM embeddings, (SELECT unnest([1, 2, 3]) AS i) WHERE label = 1")
+def unnest_with_ordinality(spark, d):
+    rows = embeddings(spark, d).filter("label = 1").select("vec_id", F.posexplode(F.slice("embedding", 1, 3)).alias("p", "v"))
+    return rows.select("vec_id", (F.col("p") + 1).alias("place"), F.round(F.col("v").cast("double"), 6).alias("value"))
+
+
+@query("WITH sizes AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label) SELECT label, n FROM sizes WHERE n >= (SELECT avg(n) FROM sizes)")
+def common_table_and_scalar(spark, d):
+    """A common table expression read twice, once as a scalar."""
+    sizes = embeddings(spark, d).groupBy("label").agg(F.count("*").alias("n"))
+    return sizes.crossJoin(F.broadcast(sizes.agg(F.avg("n").alias("mean")))).filter("n >= mean").select("label", "n")  # one row
+
+
 # --- fusion and hybrid -------------------------------------------------------------------------
 
 _LISTS = "(SELECT 0 AS list_id, vec_id AS id, row_number() OVER (ORDER BY (vec_id * 7919) % 1009, vec_id) AS rank FROM embeddings UNION ALL SELECT 1, vec_id, row_number() OVER (ORDER BY (vec_id * 104729) % 1013, vec_id) FROM embeddings WHERE label <= 4)"
@@ -502,6 +530,14 @@ def index_lifecycle(spark, d):
     return VectorIndex.open(spark, index.uri).scan("label = 3")
 
 
+@query("SELECT vec_id AS id, label, 0 AS step FROM embeddings WHERE label <> 2 UNION ALL SELECT vec_id, label, 1 FROM embeddings WHERE label < 5")
+def index_vacuum_and_reindex(spark, d):
+    """Rows that the source lost go by a vacuum, after a compaction; a reindex then reads another state of the source."""
+    e = embeddings(spark, d)
+    index = _index(spark, d).compact().vacuum(e.filter("label <> 2"))
+    return index.scan().withColumn("step", F.lit(0)).unionByName(index.reindex(e.filter("label < 5")).scan().withColumn("step", F.lit(1)))
+
+
 def _judged(spark, d, found, truth, violations):
     """One row: how many queries and rows, what breaks the contract of a search, and whether recall reaches 0.9."""
     lag = F.lag("distance").over(Window.partitionBy("query_id").orderBy("rank"))
