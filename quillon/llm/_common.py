@@ -212,10 +212,11 @@ def frequent(df: DataFrame, most: int) -> DataFrame:
     return df.filter(step >= F.lit(least))
 
 
-def even_join(big: DataFrame, small: DataFrame, key: str, rows: int, how: str = "inner") -> DataFrame:
+def even_join(spark: SparkSession, big: DataFrame, small: DataFrame, key: str, rows: int, how: str = "inner") -> DataFrame:
     """``big`` joined with ``small``, which has one row a key, where the counts are not known: as deal_join, with the hot keys counted here."""
-    hot = F.broadcast(big.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_limit(rows)).select(key))  # at most MOST_HOT
+    hot = materialise(spark, big.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_limit(rows)).select(key), "hot")  # at most MOST_HOT
     if hot.isEmpty():
         return big.join(small, key, how)
+    hot = F.broadcast(hot)
     often = big.join(hot, key, "left_semi").join(F.broadcast(small.join(hot, key, "left_semi")), key, how)
     return often.unionByName(big.join(hot, key, "left_anti").join(small, key, how))

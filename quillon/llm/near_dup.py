@@ -12,9 +12,9 @@ with weight 1 (the plain MinHash, which is the same for a text without repeats),
 Exact copies fold into one representative first, by a sum before the shuffle, so a large group of copies costs
 one row. Pairs of a bucket are not all made, but two members of a bucket are either compared or already in one class. A
 text's weight is the number of texts that it shares buckets with; the heaviest member of a bucket, the hub, is the one
-that most others were made from. First every member is paired with its buckets' hubs. Then classes are formed from the links so
-far, and in each bucket that still has members of several classes, ``HUBS`` members of the smallest ones meet all members of
-other classes. What is then left in buckets of several classes meets by a prefix filter, which is exact: in one order of all
+that most others were made from. First every member is paired with the heaviest hub of its buckets. Then, in each bucket whose members still
+lie in several classes, those outside the largest one meet its heaviest member. What is then left in buckets of several classes meets by a
+prefix filter, which is exact: in one order of all
 shingles, rare ones first, the first shingle that two texts of similarity 0.8 have in common lies within the first fifth of either, and
 the shares behind it bound their similarity. Texts of different classes within that bound are compared in the task, and each text
 hands on its ``NEAREST`` likeliest partners; classes are formed anew, and as long as a text had more, this goes on with more of them, so
@@ -39,15 +39,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import deal_join, even_join, frequent, hot_limit, materialise, mix64, prefix_hash, raw_texts, slices
 
 SHINGLE, BANDS, ROWS, LEAST = 5, 25, 5, 0.8
 COMPONENTS = BANDS * ROWS
-#: Members of a bucket that meet all others in one round, such rounds, and the most shingles whose frequency is sent.
-HUBS, ROUNDS, FREQUENT = 4, 1, 1 << 20
+#: The most shingles whose frequency is sent.
+FREQUENT = 1 << 20
 #: Cells of the parity bound, and partners that a text hands on in the first round of the prefix filter (eight times as many in each that follows).
 PARITIES, NEAREST = 1024, 4
 #: Bits of the filter that spares the second pass most texts; when full it lets more through.
@@ -300,7 +300,7 @@ def _with_sets(pairs: DataFrame, written: DataFrame, sets: DataFrame, key: str,
 
 
 def _verified(spark: SparkSession, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, alike) for pairs of digests: first by the parities, which are small, then by the sets of those that may be alike."""
+    """The pairs (a, b) that are alike: first by the parities, which are small, then by the sets of those that may be."""
     pairs = materialise(spark, pairs.select("a", "b"), "pairs")
     n, short, long = pairs.count(), ["bits", "size", "weight"], ["elements", "weights"]
 
@@ -308,21 +308,19 @@ def _verified(spark: SparkSession, pairs: DataFrame, sets: DataFrame) -> DataFra
         for batch in slices(batches, 4096):
             c = dict(zip(batch.schema.names, batch.columns))
             sides = [x for k in "ab" for x in (_bits(c[f"{k}_bits"]), c[f"{k}_size"].to_numpy(), c[f"{k}_weight"].to_numpy())]
-            yield pa.RecordBatch.from_arrays([c["a"], c["b"], pa.array(possible(*sides) >= 0, pa.bool_())], ["a", "b", "may"])
+            yield pa.RecordBatch.from_arrays([c["a"], c["b"]], ["a", "b"]).filter(pa.array(possible(*sides) >= 0, pa.bool_()))
 
     def exact(batches):
         for batch in slices(batches, 64):
             alike = []
             for ea, wa, eb, wb in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
                 alike.append(max(similarity(*_unpack(ea, wa), *_unpack(eb, wb))) >= LEAST)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(alike, pa.bool_())], ["a", "b", "alike"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
     both = _with_sets(_with_sets(pairs, pairs, sets, "a", short, n), pairs, sets, "b", short, n)
-    bounded = materialise(spark, both.mapInArrow(bound, "a binary, b binary, may boolean"), "bounded")
-    likely = bounded.filter("may").select("a", "b")
+    likely = materialise(spark, both.mapInArrow(bound, "a binary, b binary"), "likely")
     both = _with_sets(_with_sets(likely, likely, sets, "a", long, n), likely, sets, "b", long, n).select("a", "b", "a_elements", "a_weights", "b_elements", "b_weights")
-    checked = materialise(spark, both.mapInArrow(exact, "a binary, b binary, alike boolean"), "checked")
-    return checked.union(bounded.filter("not may").select("a", "b", F.lit(False).alias("alike")))
+    return materialise(spark, both.mapInArrow(exact, "a binary, b binary"), "alike")
 
 
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
@@ -332,10 +330,10 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     rows = ends.count()
     labels = materialise(spark, ends.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("root")), "labels")
     while True:
-        near = even_join(ends, labels.withColumnRenamed("x", "y"), "y", rows).groupBy("x").agg(F.min("root").alias("other"))
+        near = even_join(spark, ends, labels.withColumnRenamed("x", "y"), "y", rows).groupBy("x").agg(F.min("root").alias("other"))
         step = materialise(spark, labels.join(near, "x").select("x", F.least("root", "other").alias("root"), F.col("root").alias("old")), "step")
         jump = step.select(F.col("x").alias("root"), F.col("root").alias("next"))
-        step = even_join(step, jump, "root", rows, "left").select("x", F.least("root", F.coalesce("next", "root")).alias("root"), "old")
+        step = even_join(spark, step, jump, "root", rows, "left").select("x", F.least("root", F.coalesce("next", "root")).alias("root"), "old")
         step = materialise(spark, step, "labels")
         labels = step.select("x", "root")
         if step.filter(F.col("root") != F.col("old")).isEmpty():
@@ -357,11 +355,31 @@ def _mixed(rows: DataFrame, key: str, total: int, spark: SparkSession) -> DataFr
     return deal_join(rows, classes, [key, "root"], total, "n")
 
 
-def _rooted(spark: SparkSession, rows: DataFrame, links: DataFrame) -> DataFrame:
-    """Rows with their digest's class."""
-    if links.isEmpty():
-        return rows.withColumn("root", F.col("digest"))
-    return rows.drop("root").join(components(spark, links), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+class Classes:
+    """The classes so far: (digest, root) of every digest that has a link."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.roots = spark, None
+
+    def of(self, rows: DataFrame) -> DataFrame:
+        """Rows with their digest's class; without a link that is the digest itself."""
+        if self.roots is None:
+            return rows.withColumn("root", F.col("digest"))
+        return rows.join(self.roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+
+    def add(self, links: DataFrame) -> None:
+        """Join the classes of linked digests (a, b), as a graph of classes."""
+        for end in ("a", "b"):
+            links = self.of(links.withColumnRenamed(end, "digest")).withColumnRenamed("root", f"root_{end}").drop("digest")
+        links = materialise(self.spark, links.select(*_pairs(F.col("root_a"), F.col("root_b"))).filter("a != b").distinct(), "links")
+        if links.isEmpty():
+            return
+        joined = components(self.spark, links)
+        if self.roots is not None:
+            step = joined.select(F.col("digest").alias("root"), F.col("root").alias("now"))
+            known = even_join(self.spark, self.roots, step, "root", self.roots.count(), "left").select("digest", F.coalesce("now", "root").alias("root"))
+            joined = known.union(joined.join(self.roots, "digest", "left_anti").select("digest", "root"))
+        self.roots = materialise(self.spark, joined, "roots")
 
 
 def prefixes(elements: np.ndarray, weights: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -396,9 +414,8 @@ def meet(x: dict, y: dict, most: int) -> list[tuple[int, int, bool]]:
     return out
 
 
-def _by_prefix(spark: SparkSession, sets: DataFrame, left: DataFrame, tested: DataFrame) -> DataFrame:
-    """Verified pairs (a, b, alike) between the digests of ``left``, beyond those tested: by shared prefix shingles."""
-    left = materialise(spark, left, "left")
+def _by_prefix(spark: SparkSession, sets: DataFrame, left: DataFrame, classes: Classes) -> None:
+    """Join the classes of all that are alike among the digests of ``left``: by shared prefix shingles."""
     mine = sets.join(left, "digest")
 
     def count(batches):
@@ -434,7 +451,7 @@ def _by_prefix(spark: SparkSession, sets: DataFrame, left: DataFrame, tested: Da
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     rows = keyed.count()
     keyed = materialise(spark, deal_join(keyed, materialise(spark, shared, "shared"), "key", rows, "n").drop("n"), "prefixes")
-    small, limit, most, out = sets.select("digest", "size", "weight", "bits"), hot_limit(rows), NEAREST, None
+    small, limit, most = sets.select("digest", "size", "weight", "bits"), hot_limit(rows), NEAREST
     names = ["key", "salt", "x", "digest", "root", "place", "share", "size", "weight", "bits"]
 
     def compare(most: int):
@@ -479,9 +496,7 @@ def _by_prefix(spark: SparkSession, sets: DataFrame, left: DataFrame, tested: Da
         return run
 
     while True:
-        now = tested if out is None else tested.union(out)
-        rooted = _rooted(spark, left.select("digest"), now.filter("alike"))
-        live = _mixed(keyed.join(rooted, "digest"), "key", rows, spark)
+        live = _mixed(classes.of(keyed), "key", rows, spark)
         live = materialise(spark, live.join(small, "digest"), "mixed")
         # Both sides of a frequent shingle are dealt out: cell (i, j) of its square has the i-th part of one and the j-th of the other.
         parts, own = F.ceil(F.col("total") / limit).cast("int"), F.pmod(F.xxhash64("digest"), F.ceil(F.col("total") / limit)).cast("int")
@@ -490,16 +505,17 @@ def _by_prefix(spark: SparkSession, sets: DataFrame, left: DataFrame, tested: Da
         two = live.withColumn("salt", F.explode(F.transform(each, lambda i: i * parts + own))).withColumn("x", F.lit(False))
         cells = one.select(*names).union(two.select(*names)).repartition("key", "salt").sortWithinPartitions("key", "salt")
         found = materialise(spark, cells.mapInArrow(compare(most), "a binary, b binary, more boolean"), "near")
-        fresh = found.select("a", "b").distinct().join(now, ["a", "b"], "left_anti")
-        checked = _verified(spark, fresh, sets)
-        out = checked if out is None else out.union(checked)
+        if found.isEmpty():
+            return
+        classes.add(_verified(spark, found.select("a", "b").distinct(), sets))
         if found.filter("more").isEmpty():
-            return out
+            return
         most *= 8
 
 
-def _links(spark: SparkSession, docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Verified links (a, b), a < b, between digests: any two that share a bucket were compared or are in one class."""
+def _classes(spark: SparkSession, docs: DataFrame, texts: DataFrame) -> Classes:
+    """The classes of digests: any two that share a bucket were compared, ruled out by a bound, or are in one class."""
+    classes = Classes(spark)
     members = texts.select("digest", F.explode("bands").alias("bucket"))
     shared = materialise(spark, members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
     total = texts.count() * BANDS
@@ -508,27 +524,21 @@ def _links(spark: SparkSession, docs: DataFrame, texts: DataFrame) -> DataFrame:
     least = texts.select("digest", F.col("top.doc_id").alias("least"))
     wanted = materialise(spark, met.select("digest").distinct().join(least, "digest"), "wanted")
     sets = materialise(spark, _shingles_of(spark, docs, wanted), "shingles")
-    hubs = materialise(spark, met.groupBy("bucket").agg(F.max_by("digest", F.struct("weight", "digest")).alias("hub"), F.count("*").alias("n")), "hubs")
-    first = deal_join(met.select("bucket", "digest", "weight"), hubs, "bucket", total, "n").filter(F.col("digest") != F.col("hub"))
-    first = materialise(spark, first.select("bucket", "digest", "weight", "hub"), "first")
-    tested = _verified(spark, first.select(*_pairs(F.col("digest"), F.col("hub"))).distinct(), sets)
-    live = materialise(spark, _mixed(_rooted(spark, first.drop("hub"), tested.filter("alike")), "bucket", total, spark), "untested")
-    order = Window.partitionBy("bucket").orderBy("n", F.col("weight").desc(), "digest")
-    for _ in range(ROUNDS):
-        others = live.filter("root != main")
-        if others.isEmpty():
-            break
-        some = others.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= HUBS).select("bucket", "total", F.col("digest").alias("hub"), F.col("root").alias("hub_root"))
-        some = materialise(spark, some, "some")
-        meet = deal_join(live.select("bucket", "digest", "root"), some, "bucket", total, "total").filter(F.col("root") != F.col("hub_root"))
-        pairs = meet.select(*_pairs(F.col("digest"), F.col("hub"))).distinct()
-        tested = tested.union(_verified(spark, pairs.join(tested, ["a", "b"], "left_anti"), sets))
-        rest = live.join(some.select("bucket", F.col("hub").alias("digest")), ["bucket", "digest"], "left_anti").select("bucket", "digest", "weight")
-        live = materialise(spark, _mixed(_rooted(spark, rest, tested.filter("alike")), "bucket", total, spark), "untested")
-    links = tested.filter("alike").select("a", "b")
+    heavy = F.struct("weight", "digest")
+    hubs = materialise(spark, met.groupBy("bucket").agg(F.max(heavy).alias("hub"), F.count("*").alias("n")), "hubs")
+    rows = met.select("bucket", "digest", "weight")
+    best = deal_join(rows, hubs, "bucket", total, "n").groupBy("digest").agg(F.max("hub").alias("hub")).filter(F.col("hub.digest") != F.col("digest"))
+    classes.add(_verified(spark, best.select(*_pairs(F.col("digest"), F.col("hub.digest"))).distinct(), sets))
+    live = materialise(spark, _mixed(classes.of(rows), "bucket", total, spark), "untested")
     if live.isEmpty():
-        return links
-    return links.union(_by_prefix(spark, sets, live.select("digest").distinct(), tested).filter("alike").select("a", "b"))
+        return classes
+    hubs = materialise(spark, live.filter("root = main").groupBy("bucket").agg(F.max(heavy).alias("hub"), F.first("total").alias("total")), "hubs")
+    meet = deal_join(live.filter("root != main").select("bucket", "digest"), hubs, "bucket", total, "total")
+    classes.add(_verified(spark, meet.select(*_pairs(F.col("digest"), F.col("hub.digest"))).distinct(), sets))
+    live = materialise(spark, _mixed(classes.of(live.select("bucket", "digest")), "bucket", total, spark).select("digest").distinct(), "untested")
+    if not live.isEmpty():
+        _by_prefix(spark, sets, live, classes)
+    return classes
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -536,14 +546,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     signed = materialise(spark, signatures(docs), "signatures")
     row = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")
     texts = materialise(spark, signed.groupBy("digest").agg(F.min(row).alias("top"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "texts")
-    links = materialise(spark, _links(spark, docs, texts).distinct(), "verified")
-    rooted = _rooted(spark, texts.select("digest", "top", "copies"), links)
-    whole = rooted.groupBy("root").agg(F.sum("copies").alias("class_size"), F.min("top").alias("class"))
+    members = materialise(spark, _classes(spark, docs, texts).of(texts.select("digest", "top", "copies")), "rooted")
     rows = signed.count()
     # A class of very many different texts has as many rows of one root.
-    members = materialise(spark, rooted, "rooted")
-    whole = materialise(spark, whole.withColumn("n", F.col("class_size")), "whole")
-    classes = materialise(spark, deal_join(members, whole, "root", rows, "n").select("digest", "copies", "class_size", "class"), "classed")
+    whole = materialise(spark, members.groupBy("root").agg(F.sum("copies").alias("class_size"), F.min("top").alias("class")), "whole")
+    classes = materialise(spark, deal_join(members, whole, "root", rows, "class_size").select("digest", "copies", "class_size", "class"), "classed")
     out = deal_join(signed.select("row", "doc_id", "digest"), classes, "digest", rows, "copies")
     return out.select("doc_id", F.col("class.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("class.row")).alias("kept"), "digest")
 

@@ -196,8 +196,6 @@ def test_hot_keys_are_dealt_out(spark, monkeypatch):
     from quillon.llm import _common
 
     monkeypatch.setattr(_common, "LEAST_HOT", 3)
-    monkeypatch.setattr(N, "HUBS", 1)
-    monkeypatch.setattr(N, "ROUNDS", 0)
     monkeypatch.setattr(N, "NEAREST", 1)
     r = random.Random(13)
     base, rows = words(r, 100), []
