@@ -6,6 +6,7 @@ so they stay in the JVM and below any filter. A null argument gives null; unequa
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from enum import Enum
 
 import numpy as np
@@ -77,6 +78,24 @@ RANKING = {Metric.L2: l2_squared_distance, Metric.COSINE: cosine_distance, Metri
 DISTANCE = {Metric.L2: l2_distance, Metric.COSINE: cosine_distance, Metric.INNER_PRODUCT: negative_inner_product}
 
 
+@dataclass(frozen=True)
+class OwnMetric:
+    """A distance of one's own, for the exact searches that are expressions (one query, per group)."""
+
+    name: str
+
+
+def register_metric(name: str, distance) -> OwnMetric:
+    """Make a function of two vector columns a metric; smaller is nearer. The guards for nulls and dimensions are added."""
+    metric = OwnMetric(name)
+
+    def guarded(a, b):
+        return _guarded(_col(a), _col(b), distance(_col(a), _col(b)))
+
+    RANKING[metric] = DISTANCE[metric] = guarded
+    return metric
+
+
 def shown(metric: Metric, ranked: Column) -> Column:
     """The distance from what ranks it."""
     return F.sqrt(ranked) if metric is Metric.L2 else ranked

@@ -92,3 +92,13 @@ def test_generated_rows_are_repeatable(spark):
     a = generated_vectors(spark, 50, 4, seed=3).repartition(7).orderBy("id").collect()
     assert a == generated_vectors(spark, 50, 4, seed=3).orderBy("id").collect()
     assert np.abs(np.array([r.embedding for r in a])).max() <= 0.5
+
+
+def test_own_metric(spark):
+    from quillon.functions.vectors import register_metric
+
+    taxi = register_metric("taxicab", lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y).cast("double")), F.lit(0.0), lambda s, v: s + v))
+    df = spark.createDataFrame([(1, [0.0, 3.0]), (2, [2.0, 2.0]), (3, None)], "id long, embedding array<float>")
+    assert [(r.id, r.distance) for r in knn(df, [0.0, 0.0], 5, taxi).collect()] == [(1, 3.0), (2, 4.0)]
+    with pytest.raises(Exception, match="dimension mismatch"):
+        knn(df, [0.0], 5, taxi).collect()
