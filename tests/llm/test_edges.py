@@ -192,14 +192,13 @@ def test_op10_cases(spark):
     assert len({r.score for r in got if r.doc_id in (1, 2, 3)}) == 1  # null, empty and blank texts alike
 
 
-@pytest.mark.parametrize("clash", ["_row", "digest"])
-def test_stages_in_sequence(spark, small, clash):
+def test_stages_in_sequence(spark, small):
     import importlib
 
     pipeline = importlib.import_module("corpus_pipeline")
     from quillon.llm._common import materialise
 
-    docs = materialise(spark, awkward(spark, clash), "awkward")
+    docs = materialise(spark, awkward(spark, "_row").selectExpr("*", "1.5 as digest", "'x' as _t"), "awkward")
     columns, before = docs.columns, {}
     for k, (name, stage) in enumerate(pipeline.STAGES):
         none = stage(spark, docs.limit(0), small)
