@@ -23,6 +23,7 @@ read.
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -98,19 +99,30 @@ def _sigmoid(x):
 
 
 class _Bags:
-    """Texts as counts of words, words as bags of buckets."""
+    """Texts as counts of words; one text's words at a time."""
 
     def __init__(self, texts: list[bytes], vocabulary: dict[bytes, int]):
-        counts = [Counter(words_of(t)) for t in texts]
-        self.word = np.array([vocabulary.setdefault(w, len(vocabulary)) for c in counts for w in c], np.int64)
-        self.count = np.array([n for c in counts for n in c.values()], float)
-        self.text = np.repeat(np.arange(len(texts)), [len(c) for c in counts])
+        word, count, size = array("i"), array("i"), array("i")
+        for t in texts:
+            found = Counter(words_of(t))
+            word.extend(vocabulary.setdefault(w, len(vocabulary)) for w in found)
+            count.extend(found.values())
+            size.append(len(found))
+        self.word, self.count = np.array(word, np.int32), np.array(count, np.float32)
+        self.text = np.repeat(np.arange(len(texts), dtype=np.int32), np.array(size, np.int64))
 
     def share(self, sizes: np.ndarray) -> np.ndarray:
         """How much of its text's average each row's word has, for one of its subwords."""
         return self.count / (np.bincount(self.text, self.count * sizes[self.word])[self.text] + SHRINK)
 
 
+def _in_parts(names: list[bytes], part: int = 20_000):
+    """bags of many words, a part at a time: (bucket, word number)."""
+    for at in range(0, len(names), part):
+        bucket, owner = bags(names[at : at + part])
+        yield bucket, owner + np.int32(at)
+
+
 def train(texts: list[bytes], toxic: np.ndarray, epochs: int = EPOCHS, rate: float = 0.01, sparse: float = 0.02, seed: int = 7) -> Model:
     """Joint training of embeddings and softmax; every fifth text chooses the epoch and calibrates."""
     rng = np.random.default_rng(seed)
@@ -121,19 +133,26 @@ def train(texts: list[bytes], toxic: np.ndarray, epochs: int = EPOCHS, rate: flo
     names = list(vocabulary)
     if not names or len(set(toxic[~held].tolist())) < 2:
         return Model(np.zeros(BUCKETS), 0.0, 0.0, -40.0)
-    bucket, owner = bags(names)
-    share = SCALE * every.share(np.bincount(owner, minlength=len(names)))
+    texts_of = np.bincount(every.word, minlength=len(names))
+    sizes, within = np.zeros(len(names)), np.zeros(BUCKETS)
+    for bucket, owner in _in_parts(names):
+        sizes += np.bincount(owner, minlength=len(names))
+        within += np.bincount(bucket, texts_of[owner], BUCKETS)
+    share = SCALE * every.share(sizes)
     # How many texts hold a bucket, counted by word: never less than the number of texts.
-    within = np.bincount(bucket, np.bincount(every.word, minlength=len(names))[owner], BUCKETS) >= min(SEEN, len(texts) // 10 + 1)
-    bucket, owner = bucket[within[bucket]], owner[within[bucket]]
-    rows, bucket = np.unique(bucket, return_inverse=True)
+    seen = within >= min(SEEN, len(texts) // 10 + 1)
+    parts = [(b[seen[b]], o[seen[b]]) for b, o in _in_parts(names)]
+    rows = np.flatnonzero(seen)
+    bucket, owner = (np.cumsum(seen, dtype=np.int32) - 1)[np.concatenate([b for b, _ in parts])], np.concatenate([o for _, o in parts])
+    del parts, within, names
+    first_rows, first_bucket, first_owner, n_words = rows, bucket, owner, len(vocabulary)
     embedding = rng.normal(0, 0.01, (DIMENSIONS, len(rows))).astype(np.float32)
     softmax, bias = rng.normal(0, 0.5, DIMENSIONS).astype(np.float32), np.array([np.log(toxic.mean() / (1 - toxic.mean()))], np.float32)
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in (embedding, softmax, bias)]
     best, shorten, fits = (np.inf, np.zeros(BUCKETS, np.float32), float(bias[0])), None, ~held[every.text]
 
     def logits_of(logit: np.ndarray, bias: float) -> np.ndarray:
-        words = np.bincount(owner, logit[bucket], len(names))
+        words = np.bincount(owner, logit[bucket], n_words)
         return np.bincount(every.text, share * words[every.word], len(texts)) + bias
 
     for epoch in range(1, epochs + 1):
@@ -145,7 +164,7 @@ def train(texts: list[bytes], toxic: np.ndarray, epochs: int = EPOCHS, rate: flo
             whole[rows] = logit
             best = (loss, whole, float(bias[0]))
         error = np.where(held, 0, p - toxic) / (~held).sum()
-        to_words = np.bincount(every.word[fits], (share * error[every.text])[fits], len(names))
+        to_words = np.bincount(every.word[fits], (share * error[every.text])[fits], n_words)
         to_buckets = np.bincount(bucket, to_words[owner], len(rows)).astype(np.float32)
         if shorten is None:
             shorten = sparse * float(np.abs(to_buckets).max(initial=0))
@@ -162,13 +181,13 @@ def train(texts: list[bytes], toxic: np.ndarray, epochs: int = EPOCHS, rate: flo
                 x *= np.maximum(0, 1 - step * shorten * np.sqrt((softmax * softmax).sum()) / length).astype(np.float32)
         if epoch % 25 == 0:  # what has become zero stays out
             alive = (embedding != 0).any(0)
-            place, keep = np.cumsum(alive) - 1, alive[bucket]
+            place, keep = np.cumsum(alive, dtype=np.int32) - 1, alive[bucket]
             bucket, owner, rows, embedding = place[bucket[keep]], owner[keep], rows[alive], np.ascontiguousarray(embedding[:, alive])
             state[0] = [np.ascontiguousarray(x[:, alive]) for x in state[0]]
     model = Model(best[1], best[2], 1.0, 0.0)
     if len(set(toxic[held].tolist())) == 2:
-        bucket, owner = bags(names)
-        model.slope, model.offset = _logistic(logits_of(best[1], best[2])[held], toxic[held])
+        bucket, owner = first_bucket, first_owner
+        model.slope, model.offset = _logistic(logits_of(best[1][first_rows], best[2])[held], toxic[held])
     return model
 
 
