@@ -13,10 +13,10 @@ Exact copies fold into one representative first, by a sum before the shuffle, so
 one row. Pairs of a bucket are not all made, but two members of a bucket are either compared or already in one class. A
 text's weight is the number of texts that it shares buckets with; the heaviest member of a bucket, the hub, is the one
 that most others were made from. First every member is paired with the heaviest hub of its buckets. Then, in each bucket whose members still
-lie in several classes, those outside the largest one meet its heaviest member. What is then left in buckets of several classes meets by a
-prefix filter, which is exact: in one order of all
+lie in several classes, those outside the largest one meet all others in the task, in cells of a bounded size. Only a bucket of more than
+``PAIRS`` such pairs goes by a prefix filter instead, which is exact as well: in one order of all
 shingles, rare ones first, the first shingle that two texts of similarity 0.8 have in common lies within the first fifth of either, and
-the shares behind it bound their similarity. Texts of different classes within that bound are compared in the task, and each text
+the shares behind it bound their similarity. Of the texts of different classes that may be alike, each
 hands on its ``NEAREST`` likeliest partners; classes are formed anew, and as long as a text had more, this goes on with more of them, so
 that a text that has joined a class need not meet all of it and none is left out. All pairs are
 verified on the whole shingle sets (set or probability Jaccard of at least 0.8), after a bound that is exact as well: the parities of
@@ -48,8 +48,10 @@ SHINGLE, BANDS, ROWS, LEAST = 5, 25, 5, 0.8
 COMPONENTS = BANDS * ROWS
 #: The most shingles whose frequency is sent.
 FREQUENT = 1 << 20
-#: Cells of the parity bound, and partners that a text hands on in the first round of the prefix filter (eight times as many in each that follows).
-PARITIES, NEAREST = 1024, 4
+#: Cells of the parity bound, and partners that a text hands on in the first round (eight times as many in each that follows).
+PARITIES, NEAREST = 1024, 32
+#: The most pairs of a bucket that are tried one by one (half a microsecond each).
+PAIRS = 1 << 28
 #: Bits of the filter that spares the second pass most texts; when full it lets more through.
 FILTER_BITS = 1 << 24
 
@@ -347,9 +349,9 @@ def _pairs(left, right) -> list:
 
 def _mixed(rows: DataFrame, key: str, total: int, spark: SparkSession) -> DataFrame:
     """The rows (key, digest, root, ...) of keys with several classes, with the number of the class's rows there (n), of all rows
-    there (total) and the class that has most (main)."""
+    there (total), the class that has most (main) and the number of all others' rows (rest)."""
     size = materialise(spark, rows.groupBy(key, "root").agg(F.count("*").alias("n")), "sizes")
-    several = size.groupBy(key).agg(F.count("*").alias("classes"), F.sum("n").alias("total"), F.max_by("root", F.struct("n", "root")).alias("main")).filter("classes > 1")
+    several = size.groupBy(key).agg(F.count("*").alias("classes"), F.sum("n").alias("total"), F.max_by("root", F.struct("n", "root")).alias("main"), (F.sum("n") - F.max("n")).alias("rest")).filter("classes > 1")
     several = materialise(spark, several, "several")
     classes = materialise(spark, deal_join(size, several, key, total, "classes").drop("classes"), "classes")
     return deal_join(rows, classes, [key, "root"], total, "n")
@@ -451,6 +453,12 @@ def _by_prefix(spark: SparkSession, sets: DataFrame, left: DataFrame, classes: C
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     rows = keyed.count()
     keyed = materialise(spark, deal_join(keyed, materialise(spark, shared, "shared"), "key", rows, "n").drop("n"), "prefixes")
+    _by_key(spark, sets, keyed, _mixed(classes.of(keyed), "key", rows, spark), rows, classes)
+
+
+def _by_key(spark: SparkSession, sets: DataFrame, keyed: DataFrame, live: DataFrame, rows: int, classes: Classes) -> None:
+    """Join the classes of all that are alike among the (about ``rows``) rows (key, digest, place, share) of one key; ``live`` are those of keys with
+    several classes, as ``_mixed`` gives them."""
     small, limit, most = sets.select("digest", "size", "weight", "bits"), hot_limit(rows), NEAREST
     names = ["key", "salt", "x", "digest", "root", "place", "share", "size", "weight", "bits"]
 
@@ -496,13 +504,13 @@ def _by_prefix(spark: SparkSession, sets: DataFrame, left: DataFrame, classes: C
         return run
 
     while True:
-        live = _mixed(classes.of(keyed), "key", rows, spark)
         live = materialise(spark, live.join(small, "digest"), "mixed")
-        # Both sides of a frequent shingle are dealt out: cell (i, j) of its square has the i-th part of one and the j-th of the other.
-        parts, own = F.ceil(F.col("total") / limit).cast("int"), F.pmod(F.xxhash64("digest"), F.ceil(F.col("total") / limit)).cast("int")
-        each = F.sequence(F.lit(0), parts - 1)
-        one = live.filter("root != main").withColumn("salt", F.explode(F.transform(each, lambda j: own * parts + j))).withColumn("x", F.lit(True))
-        two = live.withColumn("salt", F.explode(F.transform(each, lambda i: i * parts + own))).withColumn("x", F.lit(False))
+        # Both sides of a frequent key are dealt out: cell (i, j) has the i-th part of those outside the largest class and the j-th of all.
+        outside, whole = (F.ceil(F.col(c) / limit).cast("int") for c in ("rest", "total"))
+        own = lambda parts: F.pmod(F.xxhash64("digest"), parts).cast("int")
+        each = lambda parts: F.sequence(F.lit(0), parts - 1)
+        one = live.filter("root != main").withColumn("salt", F.explode(F.transform(each(whole), lambda j: own(outside) * whole + j))).withColumn("x", F.lit(True))
+        two = live.withColumn("salt", F.explode(F.transform(each(outside), lambda i: i * whole + own(whole)))).withColumn("x", F.lit(False))
         cells = one.select(*names).union(two.select(*names)).repartition("key", "salt").sortWithinPartitions("key", "salt")
         found = materialise(spark, cells.mapInArrow(compare(most), "a binary, b binary, more boolean"), "near")
         if found.isEmpty():
@@ -511,6 +519,7 @@ def _by_prefix(spark: SparkSession, sets: DataFrame, left: DataFrame, classes: C
         if found.filter("more").isEmpty():
             return
         most *= 8
+        live = _mixed(classes.of(keyed), "key", rows, spark)
 
 
 def _classes(spark: SparkSession, docs: DataFrame, texts: DataFrame) -> Classes:
@@ -529,15 +538,14 @@ def _classes(spark: SparkSession, docs: DataFrame, texts: DataFrame) -> Classes:
     rows = met.select("bucket", "digest", "weight")
     best = deal_join(rows, hubs, "bucket", total, "n").groupBy("digest").agg(F.max("hub").alias("hub")).filter(F.col("hub.digest") != F.col("digest"))
     classes.add(_verified(spark, best.select(*_pairs(F.col("digest"), F.col("hub.digest"))).distinct(), sets))
-    live = materialise(spark, _mixed(classes.of(rows), "bucket", total, spark), "untested")
-    if live.isEmpty():
-        return classes
-    hubs = materialise(spark, live.filter("root = main").groupBy("bucket").agg(F.max(heavy).alias("hub"), F.first("total").alias("total")), "hubs")
-    meet = deal_join(live.filter("root != main").select("bucket", "digest"), hubs, "bucket", total, "total")
-    classes.add(_verified(spark, meet.select(*_pairs(F.col("digest"), F.col("hub.digest"))).distinct(), sets))
-    live = materialise(spark, _mixed(classes.of(live.select("bucket", "digest")), "bucket", total, spark).select("digest").distinct(), "untested")
+    keyed = rows.select(F.col("bucket").alias("key"), "digest", F.lit(0).cast("long").alias("place"), F.lit(1.0).alias("share"))
+    live, large = materialise(spark, _mixed(classes.of(keyed), "key", total, spark), "untested"), F.col("rest") * F.col("total") > PAIRS
+    far = materialise(spark, live.filter(large).select("digest").distinct(), "large")
+    live = live.filter(~large)
     if not live.isEmpty():
-        _by_prefix(spark, sets, live, classes)
+        _by_key(spark, sets, live.select("key", "digest", "place", "share"), live, total, classes)
+    if not far.isEmpty():
+        _by_prefix(spark, sets, far, classes)
     return classes
 
 

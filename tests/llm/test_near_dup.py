@@ -212,6 +212,26 @@ def test_hot_keys_are_dealt_out(spark, monkeypatch):
     assert sum(x.kept for x in got) == len(set(want.values())) == N.one_of_each(spark, docs).count()
 
 
+@pytest.mark.parametrize("pairs", (0, 40, 1 << 28))
+def test_unlike_members_of_buckets_make_no_prefix_rows(spark, monkeypatch, pairs):
+    """Texts that share buckets and are no copies meet bucket by bucket; the prefix filter is for buckets beyond the limit alone. Either way gives all links."""
+    monkeypatch.setattr(N, "PAIRS", pairs)
+    asked, by_prefix = [], N._by_prefix
+    monkeypatch.setattr(N, "_by_prefix", lambda *a: asked.append(1) or by_prefix(*a))
+    r = random.Random(17)
+    rows = fixture()
+    for _ in range(6):
+        base = words(r, 150)
+        for _ in range(10):  # about 0.7 alike, so that most pairs share a bucket and have no link
+            w = list(base)
+            for k in r.sample(range(150), 3):
+                w[k] = f"y{r.random()}"
+            rows.append((len(rows), " ".join(w)))
+    got = N.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {x.doc_id: x.class_id for x in got} == brute_classes(rows)
+    assert bool(asked) == (pairs < 1 << 28)
+
+
 def test_one_of_each_keeps_columns_and_one_row(spark):
     rows = [(4, "a b c d e f g"), (2, "a b c d e f g"), (2, "a b c d e f g"), (None, "alone here"), (9, None), (7, "")]
     docs = spark.createDataFrame([(i, t, 1, "k") for i, t in rows], SCHEMA + ", rows int, _row string")
