@@ -85,6 +85,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = self.tokenizer.model.tokenize
         self.width = "H" if self.tokenizer.get_vocab_size(True) <= 1 << 16 else "I"
         probe = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("Ab CD.\nx", "Ab", "CD.", "x", "ab")]
         self.by_word, self.by_lower = probe[0] == probe[1] + probe[2] + probe[3], probe[1] == probe[4]
@@ -106,15 +107,13 @@ class WordEncoder:
             if not _LATIN.fullmatch(text):
                 return None
             text = text.lower().encode().decode("latin-1").translate(_BYTES)
-        return self.pack([t.id for t in self.tokenizer.model.tokenize(text)])
+        return array(self.width, [t.id for t in self.merges(text)]).tobytes()
 
     def _word(self, word: bytes) -> bytes | None:
         """The ids of a word that is not known, if it is one of letters and closing marks."""
         stem = word.rstrip(_ENDING)
         if not stem:
             return None
-        if len(stem) == len(word):
-            return self._letters(word)
         ids = self.stems.get(stem)
         if ids is None:
             ids = self._letters(stem)
@@ -123,6 +122,8 @@ class WordEncoder:
             if len(self.stems) >= self.limit:
                 self.stems.clear()
             self.stems[stem] = ids
+        if len(stem) == len(word):
+            return ids
         ending = word[len(stem) :]
         more = self.known.get(ending)
         if more is None:
@@ -145,22 +146,19 @@ class WordEncoder:
             known.clear()
         out = []
         for w in words:
-            try:
-                out.append(b"".join(map(known.__getitem__, w)))
-            except KeyError:
-                new = []
-                for x in dict.fromkeys(w):
-                    if x not in known:
-                        ids = self._word(x) if self.by_letters else None
-                        if ids is None:
-                            new.append(x)
-                        else:
-                            known[x] = ids
+            new = []
+            for x in set(w).difference(known):
+                ids = self._word(x) if self.by_letters else None
+                if ids is None:
+                    new.append(x)
+                else:
+                    known[x] = ids
+            if new:
                 for x, e in zip(new, self.tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)):
                     known[x] = self.pack(e.ids)
-                out.append(b"".join(map(known.__getitem__, w)))
-                if len(known) > 2 * self.limit:
-                    known.clear()
+            out.append(b"".join(map(known.__getitem__, w)))
+            if len(known) > 2 * self.limit:
+                known.clear()
         return out
 
 

@@ -88,3 +88,14 @@ def test_file_format_refuses_damage():
         S.ShardReader(pa.BufferReader(data[:-1] + b"?"))
     with pytest.raises(ValueError, match="checksum"):
         S.ShardReader(pa.BufferReader(data[:10] + b"\xff\xff" + data[12:])).block(0)
+
+
+def test_a_word_met_with_and_without_marks_is_merged_once():
+    """The memory serves a bare word and the same word before closing marks."""
+    encoder = S.WordEncoder(S.default_tokenizer())
+    asked, letters = [], encoder._letters
+    encoder._letters = lambda word: asked.append(word) or letters(word)
+    texts = ["Zorplim, quent", "zorplim; Quent. quent!", "quent zorplim"]
+    got = encoder.encode_batch([t.encode() for t in texts])
+    assert got == [encoder._whole(t) for t in texts]
+    assert sorted(asked) == [b"quent", b"zorplim"]
