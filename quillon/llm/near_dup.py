@@ -12,15 +12,16 @@ with weight 1 (the plain MinHash, which is the same for a text without repeats),
 Exact copies fold into one representative first, by a sum before the shuffle, so a large group of copies costs
 one row. Pairs of a bucket are not all made, but two members of a bucket are either compared or already in one class. A
 text's weight is the number of texts that it shares buckets with; the heaviest member of a bucket, the hub, is the one
-that most others were made from. First every member is paired with the heaviest hub of its buckets. Then, in each bucket whose members still
-lie in several classes, those outside the largest one meet all others in the task, in cells of a bounded size. Only a bucket of more than
+that most others were made from. First every text is verified against the heaviest hub of its buckets. Then, in each bucket whose members still
+lie in several classes, those outside the largest one meet all others in the task, in cells of a bounded size. A cell hands on no pairs, only those of
+its texts that may be alike to one of another class; these come again with their shingles, and the task verifies
+them pair by pair, the likeliest first, passes over what has become one class by then, and gives the links that joined two classes: fewer than it has
+texts. So no row is made for a pair, however large a group is, and none is left out. Only a bucket of more than
 ``PAIRS`` such pairs goes by a prefix filter instead, which is exact as well: in one order of all
 shingles, rare ones first, the first shingle that two texts of similarity 0.8 have in common lies within the first fifth of either, and
-the shares behind it bound their similarity. Of the texts of different classes that may be alike, each
-hands on its ``NEAREST`` likeliest partners; classes are formed anew, and as long as a text had more, this goes on with more of them, so
-that a text that has joined a class need not meet all of it and none is left out. All pairs are
+the shares behind it bound their similarity. All that is linked was
 verified on the whole shingle sets (set or probability Jaccard of at least 0.8), after a bound that is exact as well: the parities of
-a text's shingles in ``PARITIES`` cells differ in no more cells than the texts in shingles. Links join into classes by
+a text's shingles in ``PARITIES`` cells (more for more than as many shingles) differ in no more cells than the texts in shingles. Links join into classes by
 spreading least labels with pointer jumping, in Spark.
 
 No key is joined in one task if it is frequent: a digest, bucket or shingle with more rows than ``LEAST_HOT`` and than one in ``MOST_HOT``
@@ -48,8 +49,10 @@ SHINGLE, BANDS, ROWS, LEAST = 5, 25, 5, 0.8
 COMPONENTS = BANDS * ROWS
 #: The most shingles whose frequency is sent.
 FREQUENT = 1 << 20
-#: Cells of the parity bound, and partners that a text hands on in the first round (eight times as many in each that follows).
-PARITIES, NEAREST = 1024, 4
+#: Cells of the parity bound (most for a long text), and likeliest partners of a text that are verified before all others.
+PARITIES, MOST_PARITIES, NEAREST = 1024, 1 << 16, 4
+#: Bytes of shingles beyond which a cell is dealt further.
+CELL_BYTES = 1 << 25
 #: The most pairs of a bucket that are tried one by one (half a microsecond each).
 PAIRS = 1 << 28
 #: Bits of the filter that spares the second pass most texts; when full it lets more through.
@@ -211,6 +214,16 @@ def parities(sets: list[tuple[np.ndarray, np.ndarray]]) -> list[bytes]:
     return out
 
 
+def finer_parities(sets: list[tuple[np.ndarray, np.ndarray]]) -> list[bytes]:
+    """The parities of sets of more than PARITIES elements in twice as many cells as elements or more; a power of two, so that fewer cells are their folds."""
+    out = []
+    for e, _ in sets:
+        cells = min(MOST_PARITIES, 2 << (len(e) - 1).bit_length()) if len(e) > PARITIES else 0
+        cell = (e >> np.uint64(7)) % np.uint64(max(cells, 1))
+        out.append(np.packbits(np.bincount(cell.astype(np.int64), minlength=cells).astype(np.uint8) & 1).tobytes() if cells else b"")
+    return out
+
+
 def possible(bits_a, size_a, weight_a, bits_b, size_b, weight_b) -> np.ndarray:
     """How far the parities leave room for a similarity of 0.8: at least 0 where it is possible.
 
@@ -221,6 +234,15 @@ def possible(bits_a, size_a, weight_a, bits_b, size_b, weight_b) -> np.ndarray:
     return np.maximum(size_a + size_b, 2 * np.maximum(weight_a, weight_b)) - 9 * differ
 
 
+def possible_finely(a: bytes, size_a: int, weight_a: int, b: bytes, size_b: int, weight_b: int) -> bool:
+    """Whether the finer parities of two texts leave room, on the cells of the one with fewer; True where one has none."""
+    if not a or not b:
+        return True
+    a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    n = min(len(a), len(b))
+    return possible(*(x for bits, *sizes in ((a, size_a, weight_a), (b, size_b, weight_b)) for x in (np.bitwise_xor.reduce(bits.reshape(-1, n)), *sizes))) >= 0
+
+
 def _bits(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, PARITIES // 64)
 
@@ -264,7 +286,7 @@ def _filter_bits(wanted: DataFrame) -> np.ndarray:
 
 
 def _shingles_of(spark: SparkSession, docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(digest, elements, weights) of the wanted (digest, least id), from a second pass over the texts: one copy of each is read."""
+    """The wanted (digest, least id, ...) with their elements, weights and parities, from a second pass over the texts: one copy of each is read."""
     bits = spark.sparkContext.broadcast(_filter_bits(wanted))
     rows = docs.select("text", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest"), F.col("doc_id").cast("long").alias("least"))
     spots = [c.alias(f"s{k}") for k, c in enumerate(_spots())]
@@ -281,48 +303,35 @@ def _shingles_of(spark: SparkSession, docs: DataFrame, wanted: DataFrame) -> Dat
             part = batch.filter(pa.array(hit))
             found = {d: raw for d, raw in zip(part.column(1).to_pylist(), raw_texts(part))}  # repeated rows once
             sets = shingle_sets(list(found.values()))
-            rows = [(d, *_pack(*x), len(x[0]), int(x[1].sum()), b) for d, x, b in zip(found, sets, parities(sets))]
-            kinds = (pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["digest", "elements", "weights", "size", "weight", "bits"])
-
-    found = rows.select("text", "digest", *spots).mapInArrow(run, "digest binary, elements binary, weights binary, size long, weight long, bits binary")
-    return found.dropDuplicates(["digest"]).join(wanted.select("digest"), "digest", "left_semi")
+            rows = [(d, *_pack(*x), len(x[0]), int(x[1].sum()), *b) for d, x, *b in zip(found, sets, parities(sets), finer_parities(sets))]
+            kinds = (pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["digest", "elements", "weights", "size", "weight", "bits", "fine"])
 
+    found = rows.select("text", "digest", *spots).mapInArrow(run, "digest binary, elements binary, weights binary, size long, weight long, bits binary, fine binary")
+    return found.dropDuplicates(["digest"]).join(wanted.drop("least"), "digest")
 
-def _with_sets(pairs: DataFrame, written: DataFrame, sets: DataFrame, key: str, names: list[str], rows: int) -> DataFrame:
-    """Pairs (as ``written``, a written table of them, and perhaps more columns) with columns of one end's set; an end of very many pairs is dealt to several tasks, with a copy of its set each."""
-    limit = hot_limit(rows)
-    hot = written.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).cast("int").alias("salts"))
-    hot = F.broadcast(hot)  # at most MOST_HOT
-    spread = F.coalesce(F.pmod(F.xxhash64("a", "b"), "salts").cast("int"), F.lit(0))
-    left = pairs.join(hot, key, "left").withColumn("salt", spread).drop("salts")
-    named = sets.select(F.col("digest").alias(key), *[F.col(c).alias(f"{key}_{c}") for c in names])
-    right = named.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
-    return left.join(right, [key, "salt"]).drop("salt")
 
-
-def _verified(spark: SparkSession, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are alike: first by the parities, which are small, then by the sets of those that may be."""
-    pairs = materialise(spark, pairs.select("a", "b"), "pairs")
-    n, short, long = pairs.count(), ["bits", "size", "weight"], ["elements", "weights"]
-
-    def bound(batches):
-        for batch in slices(batches, 4096):
-            c = dict(zip(batch.schema.names, batch.columns))
-            sides = [x for k in "ab" for x in (_bits(c[f"{k}_bits"]), c[f"{k}_size"].to_numpy(), c[f"{k}_weight"].to_numpy())]
-            yield pa.RecordBatch.from_arrays([c["a"], c["b"]], ["a", "b"]).filter(pa.array(possible(*sides) >= 0, pa.bool_()))
+def _near_hubs(spark: SparkSession, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of a text and its hub that are alike. A hub of very many texts is dealt to several tasks, with a copy of its set each."""
+    mine = sets.filter("hub != digest")
+    hubs = materialise(spark, mine.groupBy("hub").agg(F.count("*").alias("n")), "hubs")
+    limit = hot_limit(mine.count())
+    salts = F.ceil(F.col("n") / limit).cast("int")
+    hot = F.broadcast(hubs.filter(F.col("n") > limit).select("hub", salts.alias("salts")))  # at most MOST_HOT
+    names = ["bits", "size", "weight", "elements", "weights"]
+    left = mine.select("hub", "digest", *names).join(hot, "hub", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("digest"), "salts").cast("int"), F.lit(0))).drop("salts")
+    right = sets.select(F.col("digest").alias("hub"), *[F.col(c).alias(f"hub_{c}") for c in names]).join(hubs, "hub").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("n")
 
     def exact(batches):
         for batch in slices(batches, 64):
-            alike = []
-            for ea, wa, eb, wb in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
-                alike.append(max(similarity(*_unpack(ea, wa), *_unpack(eb, wb))) >= LEAST)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(alike, pa.bool_()))
+            c = dict(zip(batch.schema.names, batch.columns))
+            sides = [x for k in ("", "hub_") for x in (_bits(c[f"{k}bits"]), c[f"{k}size"].to_numpy(), c[f"{k}weight"].to_numpy())]
+            alike = possible(*sides) >= 0
+            for i in np.flatnonzero(alike).tolist():
+                alike[i] = max(similarity(*(x for k in ("", "hub_") for x in _unpack(c[f"{k}elements"][i].as_py(), c[f"{k}weights"][i].as_py())))) >= LEAST
+            yield pa.RecordBatch.from_arrays([c["digest"], c["hub"]], ["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
-    both = _with_sets(_with_sets(pairs, pairs, sets, "a", short, n), pairs, sets, "b", short, n)
-    likely = materialise(spark, both.mapInArrow(bound, "a binary, b binary"), "likely")
-    both = _with_sets(_with_sets(likely, likely, sets, "a", long, n), likely, sets, "b", long, n).select("a", "b", "a_elements", "a_weights", "b_elements", "b_weights")
-    return materialise(spark, both.mapInArrow(exact, "a binary, b binary"), "alike")
+    return materialise(spark, left.join(right, ["hub", "salt"]).mapInArrow(exact, "a binary, b binary"), "alike")
 
 
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
@@ -394,25 +403,72 @@ def prefixes(elements: np.ndarray, weights: np.ndarray, rank: np.ndarray) -> tup
     return elements[order[:n]], behind[:n]
 
 
-def meet(x: dict, y: dict, most: int) -> list[tuple[int, int, bool]]:
-    """For each text of x its likeliest partners in y, at most ``most``: (place in x, place in y, whether there were more)."""
+def meet(x: dict, y: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of texts of different classes that no bound rules out: places in x, places in y, and the room that the bound leaves."""
     out = []
     for at in range(0, len(x["root"]), 64):
         one = {k: v[at : at + 64] for k, v in x.items()}
-        common = np.minimum((one["size"] - one["place"])[:, None], (y["size"] - y["place"])[None, :])
-        plain = common / (one["size"][:, None] + y["size"][None, :] - common)
-        weighted = 1 / (1 / one["share"][:, None] + 1 / y["share"][None, :] - 1)
-        i, j = np.nonzero((np.maximum(plain, weighted) >= LEAST - 1e-9) & (one["root"][:, None] != y["root"][None, :]))
-        if not len(i):
-            continue
+        may = one["root"][:, None] != y["root"][None, :]
+        if "place" in one:
+            common = np.minimum((one["size"] - one["place"])[:, None], (y["size"] - y["place"])[None, :])
+            plain = common / (one["size"][:, None] + y["size"][None, :] - common)
+            weighted = 1 / (1 / one["share"][:, None] + 1 / y["share"][None, :] - 1)
+            may &= np.maximum(plain, weighted) >= LEAST - 1e-9
+        i, j = np.nonzero(may)
         room = possible(one["bits"][i], one["size"][i], one["weight"][i], y["bits"][j], y["size"][j], y["weight"][j])
         may = room >= 0
-        i, j, room = i[may], j[may], room[may]
-        order = np.lexsort((j, -room, i))
-        i, j = i[order], j[order]
-        first = np.searchsorted(i, i, "left")
-        rank, count = np.arange(len(i)) - first, np.searchsorted(i, i, "right") - first
-        out += [(at + int(a), int(b), bool(n > most)) for a, b, r, n in zip(i, j, rank, count) if r < most]
+        out.append((at + i[may], j[may], room[may]))
+    i, j, room = (np.concatenate(c) for c in zip(*out))
+    fine = [possible_finely(x["fine"][a], x["size"][a], x["weight"][a], y["fine"][b], y["size"][b], y["weight"][b]) for a, b in zip(i.tolist(), j.tolist())]
+    fine = np.array(fine, bool)
+    return i[fine], j[fine], room[fine]
+
+
+def _cells(batches, names: list[str]):
+    """The rows of one cell, which ``names`` tell, at a time, as a table and the places of its two sides; cells with an empty side are left out."""
+
+    def tables(batches):
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            keys = [table.column(c).to_numpy() for c in names]
+            cut = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], 0)) + 1
+            for i, j in zip([0, *cut.tolist()], cut.tolist()):
+                yield table.slice(i, j - i)
+            held = table.slice(int(cut[-1]) if len(cut) else 0)
+        if held is not None and held.num_rows:
+            yield held
+
+    for table in tables(batches):
+        side = table.column("x").to_numpy(zero_copy_only=False)
+        if side.any() and not side.all():
+            yield table, np.flatnonzero(side), np.flatnonzero(~side)
+
+
+def _sides(whole: dict, i: np.ndarray, j: np.ndarray) -> list[dict]:
+    return [{k: v[at] for k, v in whole.items()} for at in (i, j)]
+
+
+def _codes(column) -> np.ndarray:
+    return column.combine_chunks().dictionary_encode().indices.to_numpy()
+
+
+def joining(sets: list[tuple[np.ndarray, np.ndarray]], root: list[int], pairs, wanted) -> list[tuple[int, int]]:
+    """Of the pairs (places in ``sets``), those alike and not in one class by then; ``wanted`` tells which are to be tried."""
+    above, out, tried = list(range(max(root, default=-1) + 1)), [], set()
+
+    def find(k: int) -> int:
+        while above[k] != k:
+            above[k] = k = above[above[k]]
+        return k
+
+    for a, b in pairs:
+        if find(root[a]) == find(root[b]) or (a, b) in tried or not wanted(a, b):
+            continue
+        tried |= {(a, b), (b, a)}
+        if max(similarity(*sets[a], *sets[b])) >= LEAST:
+            above[find(root[a])] = find(root[b])
+            out.append((a, b))
     return out
 
 
@@ -453,73 +509,68 @@ def _by_prefix(spark: SparkSession, sets: DataFrame, left: DataFrame, classes: C
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     rows = keyed.count()
     keyed = materialise(spark, deal_join(keyed, materialise(spark, shared, "shared"), "key", rows, "n").drop("n"), "prefixes")
-    _by_key(spark, sets, keyed, _mixed(classes.of(keyed), "key", rows, spark), rows, classes)
-
-
-def _by_key(spark: SparkSession, sets: DataFrame, keyed: DataFrame, live: DataFrame, rows: int, classes: Classes) -> None:
-    """Join the classes of all that are alike among the (about ``rows``) rows (key, digest, place, share) of one key; ``live`` are those of keys with
-    several classes, as ``_mixed`` gives them."""
-    small, limit, most = sets.select("digest", "size", "weight", "bits"), hot_limit(rows), NEAREST
-    names = ["key", "salt", "x", "digest", "root", "place", "share", "size", "weight", "bits"]
-
-    def compare(most: int):
-        def run(batches):
-            held = None
-
-            def blocks(batches):
-                """Rows of one (key, salt) at a time."""
-                nonlocal held
-                for batch in batches:
-                    table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-                    key, salt = table.column("key").to_numpy(), table.column("salt").to_numpy()
-                    cut = np.flatnonzero((key[1:] != key[:-1]) | (salt[1:] != salt[:-1])) + 1
-                    for i, j in zip([0, *cut.tolist()], cut.tolist()):
-                        yield table.slice(i, j - i)
-                    held = table.slice(int(cut[-1]) if len(cut) else 0)
-                if held is not None and held.num_rows:
-                    yield held
-
-            pairs: list = []
-
-            def batch_of():
-                cols = list(zip(*pairs)) or [()] * 3
-                pairs.clear()
-                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.binary(), pa.bool_()))], ["a", "b", "more"])
-
-            for block in blocks(batches):
-                side = block.column("x").to_numpy(zero_copy_only=False)
-                if not side.any() or side.all():
-                    continue
-                roots = block.column("root").combine_chunks().dictionary_encode().indices.to_numpy()
-                whole = {"root": roots, "bits": _bits(block.column("bits")), **{c: block.column(c).to_numpy() for c in ("place", "share", "size", "weight")}}
-                digest = block.column("digest").to_pylist()
-                i, j = np.flatnonzero(side), np.flatnonzero(~side)
-                for a, b, more in meet({k: v[i] for k, v in whole.items()}, {k: v[j] for k, v in whole.items()}, most):
-                    a, b = digest[i[a]], digest[j[b]]
-                    pairs.append((min(a, b), max(a, b), more))
-                if len(pairs) > 50_000:
-                    yield batch_of()
-            yield batch_of()
-
-        return run
-
-    while True:
-        live = materialise(spark, live.join(small, "digest"), "mixed")
-        # Both sides of a frequent key are dealt out: cell (i, j) has the i-th part of those outside the largest class and the j-th of all.
-        outside, whole = (F.ceil(F.col(c) / limit).cast("int") for c in ("rest", "total"))
-        own = lambda parts: F.pmod(F.xxhash64("digest"), parts).cast("int")
-        each = lambda parts: F.sequence(F.lit(0), parts - 1)
-        one = live.filter("root != main").withColumn("salt", F.explode(F.transform(each(whole), lambda j: own(outside) * whole + j))).withColumn("x", F.lit(True))
-        two = live.withColumn("salt", F.explode(F.transform(each(outside), lambda i: i * whole + own(whole)))).withColumn("x", F.lit(False))
-        cells = one.select(*names).union(two.select(*names)).repartition("key", "salt").sortWithinPartitions("key", "salt")
-        found = materialise(spark, cells.mapInArrow(compare(most), "a binary, b binary, more boolean"), "near")
-        if found.isEmpty():
-            return
-        classes.add(_verified(spark, found.select("a", "b").distinct(), sets))
-        if found.filter("more").isEmpty():
-            return
-        most *= 8
-        live = _mixed(classes.of(keyed), "key", rows, spark)
+    _by_key(spark, sets, _mixed(classes.of(keyed), "key", rows, spark), rows, classes)
+
+
+def _by_key(spark: SparkSession, sets: DataFrame, live: DataFrame, rows: int, classes: Classes, buckets: bool = False) -> None:
+    """Join the classes of all that are alike among the rows of one key; ``live`` are those (of about ``rows``) of keys with several classes, as ``_mixed``
+    gives them, with place and share unless the keys are ``buckets``."""
+    small, limit = sets.select("digest", "size", "weight", "bits", "fine"), hot_limit(rows)
+    more = [] if buckets else ["place", "share"]
+    names, cell = ["key", "salt", "x", "digest", "root", *more, "size", "weight", "bits", "fine"], ["key", "salt", "part"]
+
+    def candidates(batches):
+        """The texts of a cell that may be alike to one of another class there, for a verification in the same cell or, if they are large, in parts of it."""
+        for table, i, j in _cells(batches, ["key", "salt"]):
+            whole = {"root": _codes(table.column("root")), "bits": _bits(table.column("bits")), "fine": np.array(table.column("fine").to_pylist(), object)}
+            a, b, _ = meet(*_sides(whole | {c: table.column(c).to_numpy() for c in (*more, "size", "weight")}, i, j))
+            a, b = np.unique(i[a]), np.unique(j[b])
+            if not len(a):
+                continue
+            size = table.column("size").to_numpy()
+            n = -(-12 * int(size[a].sum() + size[b].sum()) // CELL_BYTES)
+            own = np.arange(len(a)) % n, np.arange(len(b)) % n
+            every, ones = np.arange(n), np.ones(n, np.int64)
+            part = np.concatenate([(own[0][:, None] * n + every).ravel(), (every * n + own[1][:, None]).ravel()])
+            took = table.select(["key", "salt", "x", "digest", "root"]).take(pa.array(np.concatenate([np.kron(a, ones), np.kron(b, ones)])))
+            for batch in took.append_column("part", pa.array(part)).combine_chunks().to_batches():
+                yield batch
+
+    def links(batches):
+        for table, i, j in _cells(batches, cell):
+            packed = zip(*(table.column(c).to_pylist() for c in ("elements", "weights")))
+            code, root, digest = _codes(table.column("digest")), _codes(table.column("root")), table.column("digest").to_pylist()
+            at = dict(zip(code.tolist(), range(len(code))))  # a text of both sides once
+            chosen = [_unpack(*x) for x in packed]
+            whole = {"root": root, "bits": np.frombuffer(b"".join(parities(chosen)), np.uint64).reshape(len(chosen), -1), "fine": np.array(finer_parities(chosen), object)}
+            whole |= {"size": np.array([len(e) for e, _ in chosen]), "weight": np.array([int(w.sum()) for _, w in chosen])}
+            a, b, room = meet(*_sides(whole, i, j))
+            order = np.lexsort((-room, a))
+            rank = np.empty(len(a), np.int64)
+            rank[order] = np.arange(len(a)) - np.searchsorted(a[order], a[order], "left")
+            order = np.lexsort((-room, rank >= NEAREST))
+            pairs = [(at[x], at[y]) for x, y in zip(code[i[a[order]]].tolist(), code[j[b[order]]].tolist())]
+            here, wanted = table.column("key")[0].as_py(), lambda x, y: True
+            if buckets:  # a pair of several buckets is tried in the least of them
+                met = [set(x) for x in table.column("bands").to_pylist()]
+                wanted = lambda x, y: min(met[x] & met[y]) == here
+            found = joining(chosen, root.tolist(), pairs, wanted)
+            ends = [pa.array([digest[p[k]] for p in found], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays(ends, ["a", "b"])
+
+    live = materialise(spark, live.join(small, "digest"), "mixed")
+    # Both sides of a frequent key are dealt out: cell (i, j) has the i-th part of those outside the largest class and the j-th of all.
+    outside, whole = (F.ceil(F.col(c) / limit).cast("int") for c in ("rest", "total"))
+    own = lambda parts: F.pmod(F.xxhash64("digest"), parts).cast("int")
+    each = lambda parts: F.sequence(F.lit(0), parts - 1)
+    one = live.filter("root != main").withColumn("salt", F.explode(F.transform(each(whole), lambda j: own(outside) * whole + j))).withColumn("x", F.lit(True))
+    two = live.withColumn("salt", F.explode(F.transform(each(outside), lambda i: i * whole + own(whole)))).withColumn("x", F.lit(False))
+    dealt = one.select(*names).union(two.select(*names)).repartition("key", "salt").sortWithinPartitions("key", "salt")
+    near = materialise(spark, dealt.mapInArrow(candidates, "key long, salt int, x boolean, digest binary, root binary, part long"), "near")
+    if near.isEmpty():
+        return
+    dealt = near.join(sets.select("digest", "elements", "weights", *(["bands"] if buckets else [])), "digest").repartition(*cell).sortWithinPartitions(*cell)
+    classes.add(materialise(spark, dealt.mapInArrow(links, "a binary, b binary"), "alike"))
 
 
 def _classes(spark: SparkSession, docs: DataFrame, texts: DataFrame) -> Classes:
@@ -530,20 +581,18 @@ def _classes(spark: SparkSession, docs: DataFrame, texts: DataFrame) -> Classes:
     total = texts.count() * BANDS
     by_text = deal_join(members, shared, "bucket", total, "n").groupBy("digest").agg(F.sum("n").alias("weight"), F.collect_list(F.struct("bucket", "n")).alias("met"))
     met = materialise(spark, by_text.select("digest", "weight", F.explode("met").alias("met")).select("met.*", "digest", "weight"), "weights")
-    least = texts.select("digest", F.col("top.doc_id").alias("least"))
-    wanted = materialise(spark, met.select("digest").distinct().join(least, "digest"), "wanted")
+    hubs = materialise(spark, met.groupBy("bucket").agg(F.max(F.struct("weight", "digest")).alias("hub"), F.count("*").alias("n")), "hubs")
+    rows = met.select("bucket", "digest")
+    best = deal_join(rows, hubs, "bucket", total, "n").groupBy("digest").agg(F.max("hub")["digest"].alias("hub"))
+    wanted = materialise(spark, best.join(texts.select("digest", F.col("top.doc_id").alias("least"), "bands"), "digest"), "wanted")
     sets = materialise(spark, _shingles_of(spark, docs, wanted), "shingles")
-    heavy = F.struct("weight", "digest")
-    hubs = materialise(spark, met.groupBy("bucket").agg(F.max(heavy).alias("hub"), F.count("*").alias("n")), "hubs")
-    rows = met.select("bucket", "digest", "weight")
-    best = deal_join(rows, hubs, "bucket", total, "n").groupBy("digest").agg(F.max("hub").alias("hub")).filter(F.col("hub.digest") != F.col("digest"))
-    classes.add(_verified(spark, best.select(*_pairs(F.col("digest"), F.col("hub.digest"))).distinct(), sets))
-    keyed = rows.select(F.col("bucket").alias("key"), "digest", F.lit(0).cast("long").alias("place"), F.lit(1.0).alias("share"))
+    classes.add(_near_hubs(spark, sets))
+    keyed = rows.select(F.col("bucket").alias("key"), "digest")
     live, large = materialise(spark, _mixed(classes.of(keyed), "key", total, spark), "untested"), F.col("rest") * F.col("total") > PAIRS
     far = materialise(spark, live.filter(large).select("digest").distinct(), "large")
     live = live.filter(~large)
     if not live.isEmpty():
-        _by_key(spark, sets, live.select("key", "digest", "place", "share"), live, total, classes)
+        _by_key(spark, sets, live, total, classes, buckets=True)
     if not far.isEmpty():
         _by_prefix(spark, sets, far, classes)
     return classes
