@@ -258,3 +258,20 @@ def test_no_table_has_a_row_a_pair(spark, monkeypatch):
     got = N.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA)).collect()
     assert {x.doc_id: x.class_id for x in got} == brute_classes(rows)
     assert max(made)[0] <= dict((name, n) for n, name in made)["weights"] * 2
+
+
+def test_finer_parities_never_rule_out_an_alike_pair():
+    r = np.random.default_rng(6)
+    ruled = 0
+    for _ in range(120):
+        base = r.integers(0, 2**63, int(r.choice([1000, 1100, 2100, 9000]))).astype(np.uint64)
+        keep, sides = r.choice([0.75, 0.9, 0.97]), []
+        for _ in range(2):
+            e = np.unique(np.concatenate([base[r.random(len(base)) < keep], r.integers(0, 2**63, r.integers(0, 60)).astype(np.uint64)]))
+            sides.append((e, np.where(r.random(len(e)) < r.choice([0, 0.2]), r.integers(1, 9, len(e)), 1)))
+        fine = N.finer_parities(sides)
+        may = N.possible_finely(*[y for b, (e, w) in zip(fine, sides) for y in (b, len(e), int(w.sum()))])
+        if max(N.similarity(*sides[0], *sides[1])) >= N.LEAST:
+            assert may
+        ruled += not may
+    assert ruled > 10
