@@ -24,6 +24,10 @@ verified on the whole shingle sets (set or probability Jaccard of at least 0.8),
 a text's shingles in ``PARITIES`` cells (more for more than as many shingles) differ in no more cells than the texts in shingles. Links join into classes by
 spreading least labels with pointer jumping, in Spark.
 
+Most texts share no bucket. What is sent for a join is filtered first by the keys that it will meet (``Filter``, a Bloom filter; the join stays, so
+results do not depend on it): members by the shared buckets, bands by the copied texts, shingles by the hubs or the texts of a cell. So the shuffle does
+not depend on which tables are small enough to be broadcast.
+
 No key is joined in one task if it is frequent: a digest, bucket or shingle with more rows than ``LEAST_HOT`` and than one in ``MOST_HOT``
 of all is broadcast (at most ``MOST_HOT`` of these) or salted. What the driver sees are counts, and the ``FREQUENT`` most frequent shingles of the last step.
 
@@ -55,8 +59,8 @@ PARITIES, MOST_PARITIES, NEAREST = 1024, 1 << 16, 4
 CELL_BYTES = 1 << 25
 #: The most pairs of a bucket that are tried one by one (half a microsecond each).
 PAIRS = 1 << 28
-#: Bits of the filter that spares the second pass most texts; when full it lets more through.
-FILTER_BITS = 1 << 24
+#: Bits of a filter that spares a shuffle most rows: 32 a key or more between these bounds; when full it lets more through.
+FILTER_BITS, MOST_FILTER_BITS = 1 << 16, 1 << 27
 
 WORD = np.zeros(256, bool)
 WORD[48:58] = WORD[97:123] = WORD[128:] = True
@@ -271,44 +275,75 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("text", F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row")).mapInArrow(run, "row long, doc_id long, digest binary, bands array<long>")
 
 
-def _spots() -> list:
-    """Places of (digest, least id) in the filter."""
-    return [F.pmod(F.xxhash64("digest", F.coalesce("least", F.lit(-1)), F.lit(k)), F.lit(FILTER_BITS)) for k in (1, 2)]
+class Filter:
+    """A Bloom filter of the 64-bit hashes ``key`` of a table's rows, broadcast: at most MOST_FILTER_BITS / 8 bytes (16 MB), and a row for each four of them comes here."""
 
+    def __init__(self, spark: SparkSession, keys: DataFrame):
+        bits = min(MOST_FILTER_BITS, max(FILTER_BITS, 1 << (32 * keys.count()).bit_length()))
+        spots = F.explode(F.array(F.pmod("key", F.lit(bits)), F.pmod(F.shiftrightunsigned("key", 32), F.lit(bits)))).alias("spot")
+        words = keys.select(spots).groupBy(F.shiftright("spot", 5).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 31 as int))")).alias("bits")).toArrow()
+        table = np.zeros(bits // 32, np.uint32)
+        table[words.column(0).to_numpy()] = words.column(1).to_numpy().astype(np.uint32)
+        self.sent = spark.sparkContext.broadcast(table)
+
+    def has(self, key: np.ndarray) -> np.ndarray:
+        """True for every key of the table, and for few others."""
+        table, key = self.sent.value, key.view(np.uint64)
+        hit = np.ones(len(key), bool)
+        for spot in (key, key >> np.uint64(32)):
+            spot = spot & np.uint64(32 * len(table) - 1)
+            hit &= (table[spot >> np.uint64(5)] >> (spot & np.uint64(31)).astype(np.uint32) & np.uint32(1)).astype(bool)
+        return hit
+
+    def rows(self, df: DataFrame, key, wanted: bool = True) -> DataFrame:
+        """The rows of ``df`` whose key it has (or has not)."""
+
+        def run(batches):
+            for batch in slices(batches):
+                if (hit := self.has(batch.column(0).to_numpy()) == wanted).any():
+                    part = batch.filter(pa.array(hit))
+                    yield pa.RecordBatch.from_arrays(part.columns[1:], part.schema.names[1:])
+
+        return df.select(key.alias("_key"), *df.columns).mapInArrow(run, df.schema)
+
+
+def _text_key():
+    return F.xxhash64("digest", F.coalesce("least", F.lit(-1)))
 
-def _filter_bits(wanted: DataFrame) -> np.ndarray:
-    """A Bloom filter of (digest, least) as bytes: summed up in Spark, at most FILTER_BITS / 32 rows come here."""
-    spots = F.explode(F.array(*_spots())).alias("spot")
-    words = wanted.select(spots).groupBy(F.shiftright("spot", 5).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 31 as int))")).alias("bits")).toArrow()
-    out = np.zeros(FILTER_BITS // 32, np.uint32)
-    out[words.column(0).to_numpy()] = words.column(1).to_numpy().astype(np.uint32)
-    return out
+
+def _members(spark: SparkSession, texts: DataFrame, shared: DataFrame) -> DataFrame:
+    """(digest, least, bucket) of the texts' shared buckets, and of few others: most buckets have one text, and go before any shuffle."""
+    known = Filter(spark, shared.select(F.col("bucket").alias("key")))
+
+    def run(batches):
+        for batch in slices(batches, 4096):
+            bands = batch.column(2)
+            bucket, text = bands.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), bands.value_lengths().to_numpy())
+            hit = known.has(bucket)
+            text = pa.array(text[hit])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(text), batch.column(1).take(text), pa.array(bucket[hit])], ["digest", "least", "bucket"])
+
+    return texts.select("digest", "least", "bands").mapInArrow(run, "digest binary, least long, bucket long")
 
 
 def _shingles_of(spark: SparkSession, docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The wanted (digest, least id, ...) with their elements, weights and parities, from a second pass over the texts: one copy of each is read."""
-    bits = spark.sparkContext.broadcast(_filter_bits(wanted))
+    """The wanted (digest, least id, ...) with their elements, weights and parities, from a second pass over the texts: one copy of each is read.
+    The texts are shuffled, as they are smaller than their elements."""
     rows = docs.select("text", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest"), F.col("doc_id").cast("long").alias("least"))
-    spots = [c.alias(f"s{k}") for k, c in enumerate(_spots())]
+    found = Filter(spark, wanted.select(_text_key().alias("key"))).rows(rows, _text_key()).drop("least").dropDuplicates(["digest"])
+    kept = [f for f in wanted.schema if f.name != "least"]
+    made = "elements binary, weights binary, size long, weight long, bits binary, fine binary"
 
     def run(batches):
-        table = bits.value
         for batch in slices(batches):
-            hit = np.ones(batch.num_rows, bool)
-            for i in (2, 3):
-                spot = batch.column(i).to_numpy()
-                hit &= (table[spot >> 5] >> (spot & 31).astype(np.uint32) & 1).astype(bool)
-            if not hit.any():
-                continue
-            part = batch.filter(pa.array(hit))
-            found = {d: raw for d, raw in zip(part.column(1).to_pylist(), raw_texts(part))}  # repeated rows once
-            sets = shingle_sets(list(found.values()))
-            rows = [(d, *_pack(*x), len(x[0]), int(x[1].sum()), *b) for d, x, *b in zip(found, sets, parities(sets), finer_parities(sets))]
-            kinds = (pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["digest", "elements", "weights", "size", "weight", "bits", "fine"])
+            sets = shingle_sets(raw_texts(batch))
+            rows = [(*_pack(*x), len(x[0]), int(x[1].sum()), *b) for x, *b in zip(sets, parities(sets), finer_parities(sets))]
+            kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns], [*batch.schema.names[1:], *(x.split()[0] for x in made.split(", "))])
 
-    found = rows.select("text", "digest", *spots).mapInArrow(run, "digest binary, elements binary, weights binary, size long, weight long, bits binary, fine binary")
-    return found.dropDuplicates(["digest"]).join(wanted.drop("least"), "digest")
+    met = found.join(wanted.drop("least"), "digest").select("text", *(f.name for f in kept))
+    return met.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", " + made)
 
 
 def _near_hubs(spark: SparkSession, sets: DataFrame) -> DataFrame:
@@ -320,7 +355,8 @@ def _near_hubs(spark: SparkSession, sets: DataFrame) -> DataFrame:
     hot = F.broadcast(hubs.filter(F.col("n") > limit).select("hub", salts.alias("salts")))  # at most MOST_HOT
     names = ["bits", "size", "weight", "elements", "weights"]
     left = mine.select("hub", "digest", *names).join(hot, "hub", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("digest"), "salts").cast("int"), F.lit(0))).drop("salts")
-    right = sets.select(F.col("digest").alias("hub"), *[F.col(c).alias(f"hub_{c}") for c in names]).join(hubs, "hub").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("n")
+    right = Filter(spark, hubs.select(F.xxhash64("hub").alias("key"))).rows(sets.select("digest", *names), F.xxhash64("digest"))
+    right = right.select(F.col("digest").alias("hub"), *[F.col(c).alias(f"hub_{c}") for c in names]).join(hubs, "hub").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("n")
 
     def exact(batches):
         for batch in slices(batches, 64):
@@ -569,22 +605,24 @@ def _by_key(spark: SparkSession, sets: DataFrame, live: DataFrame, rows: int, cl
     near = materialise(spark, dealt.mapInArrow(candidates, "key long, salt int, x boolean, digest binary, root binary, part long"), "near")
     if near.isEmpty():
         return
-    dealt = near.join(sets.select("digest", "elements", "weights", *(["bands"] if buckets else [])), "digest").repartition(*cell).sortWithinPartitions(*cell)
+    whole = Filter(spark, near.select(F.xxhash64("digest").alias("key"))).rows(sets.select("digest", "elements", "weights", *(["bands"] if buckets else [])), F.xxhash64("digest"))
+    dealt = near.join(whole, "digest").repartition(*cell).sortWithinPartitions(*cell)
     classes.add(materialise(spark, dealt.mapInArrow(links, "a binary, b binary"), "alike"))
 
 
-def _classes(spark: SparkSession, docs: DataFrame, texts: DataFrame) -> Classes:
-    """The classes of digests: any two that share a bucket were compared, ruled out by a bound, or are in one class."""
+def _classes(spark: SparkSession, docs: DataFrame, texts: DataFrame, count: int) -> Classes:
+    """The classes of digests: any two that share a bucket were compared, ruled out by a bound, or are in one class. ``texts`` are ``count`` rows (digest, least, bands)."""
     classes = Classes(spark)
-    members = texts.select("digest", F.explode("bands").alias("bucket"))
-    shared = materialise(spark, members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
-    total = texts.count() * BANDS
-    by_text = deal_join(members, shared, "bucket", total, "n").groupBy("digest").agg(F.sum("n").alias("weight"), F.collect_list(F.struct("bucket", "n")).alias("met"))
+    shared = texts.select(F.explode("bands").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = materialise(spark, shared, "shared")
+    total = count * BANDS
+    by_text = deal_join(_members(spark, texts, shared), shared, "bucket", total, "n").groupBy("digest").agg(F.first("least").alias("least"), F.sum("n").alias("weight"), F.collect_list(F.struct("bucket", "n")).alias("met"))
+    by_text = materialise(spark, by_text, "met")
     met = materialise(spark, by_text.select("digest", "weight", F.explode("met").alias("met")).select("met.*", "digest", "weight"), "weights")
     hubs = materialise(spark, met.groupBy("bucket").agg(F.max(F.struct("weight", "digest")).alias("hub"), F.count("*").alias("n")), "hubs")
     rows = met.select("bucket", "digest")
     best = deal_join(rows, hubs, "bucket", total, "n").groupBy("digest").agg(F.max("hub")["digest"].alias("hub"))
-    wanted = materialise(spark, best.join(texts.select("digest", F.col("top.doc_id").alias("least"), "bands"), "digest"), "wanted")
+    wanted = materialise(spark, best.join(by_text.select("digest", "least", F.col("met.bucket").alias("bands")), "digest"), "wanted")
     sets = materialise(spark, _shingles_of(spark, docs, wanted), "shingles")
     classes.add(_near_hubs(spark, sets))
     keyed = rows.select(F.col("bucket").alias("key"), "digest")
@@ -598,12 +636,21 @@ def _classes(spark: SparkSession, docs: DataFrame, texts: DataFrame) -> Classes:
     return classes
 
 
+def _each_once(spark: SparkSession, signed: DataFrame, texts: DataFrame) -> DataFrame:
+    """(digest, least, bands) of every text. The bands of copied texts alone are shuffled; those of others are read where they are."""
+    copied, key = Filter(spark, texts.filter("copies > 1").select(F.xxhash64("digest").alias("key"))), F.xxhash64("digest")
+    rows = signed.select("digest", F.col("doc_id").alias("least"), "bands")
+    least = F.min(F.struct(F.col("least").isNull().alias("null"), "least"))["least"].alias("least")
+    once = copied.rows(rows, key).groupBy("digest").agg(least, F.first("bands").alias("bands"))
+    return copied.rows(rows, key, wanted=False).unionByName(materialise(spark, once, "copied"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, class_id, class_size and kept (one row a class), with the text's digest."""
     signed = materialise(spark, signatures(docs), "signatures")
     row = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")
-    texts = materialise(spark, signed.groupBy("digest").agg(F.min(row).alias("top"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "texts")
-    members = materialise(spark, _classes(spark, docs, texts).of(texts.select("digest", "top", "copies")), "rooted")
+    texts = materialise(spark, signed.groupBy("digest").agg(F.min(row).alias("top"), F.count("*").alias("copies")), "texts")
+    members = materialise(spark, _classes(spark, docs, _each_once(spark, signed, texts), texts.count()).of(texts), "rooted")
     rows = signed.count()
     # A class of very many different texts has as many rows of one root.
     whole = materialise(spark, members.groupBy("root").agg(F.sum("copies").alias("class_size"), F.min("top").alias("class")), "whole")

@@ -275,3 +275,48 @@ def test_finer_parities_never_rule_out_an_alike_pair():
             assert may
         ruled += not may
     assert ruled > 10
+
+
+def test_a_filter_has_all_its_keys_and_few_others(spark):
+    r = np.random.default_rng(8)
+    keys, others = r.integers(-(2**63), 2**63, (2, 20000))
+    known = N.Filter(spark, spark.createDataFrame([(int(k),) for k in keys[:3000]], "key long"))
+    assert known.has(keys[:3000]).all() and known.has(others).mean() < 0.01
+    rows = spark.createDataFrame([(int(k), "t") for k in keys[2000:4000]], "k long, t string")
+    kept, left = ({x.k for x in known.rows(rows, N.F.col("k"), wanted).collect()} for wanted in (True, False))
+    assert kept >= set(keys[2000:3000].tolist()) and kept | left == set(keys[2000:4000].tolist()) and not kept & left and len(kept) < 1050
+    none = N.Filter(spark, spark.createDataFrame([], "key long"))
+    assert not none.has(keys).any()
+
+
+def test_full_filters_change_no_class(spark, monkeypatch):
+    monkeypatch.setattr(N, "FILTER_BITS", 32)
+    monkeypatch.setattr(N, "MOST_FILTER_BITS", 32)
+    rows = fixture()
+    docs = spark.createDataFrame(rows + [(None, rows[0][1]), (3, rows[3][1])], SCHEMA)
+    got = N.near_duplicates(spark, docs).collect()
+    want = brute_classes(rows)
+    assert {x.doc_id: x.class_id for x in got if x.doc_id is not None} == want and len(got) == len(rows) + 2
+    assert [x.class_id for x in got if x.doc_id is None] == [want[rows[0][0]]]
+
+
+def test_buckets_of_one_text_are_shuffled_once(spark):
+    """Where no join is small enough for a broadcast, as in a large corpus, texts that share nothing send their 25 buckets once, to be counted."""
+    r = random.Random(23)
+    rows = [(k, " ".join(words(r, 40))) for k in range(4000)]
+    rows += [(5000 + k, rows[k][1] + " more") for k in range(40)] + [(6000 + k, rows[k][1]) for k in range(100, 140)]
+    docs, written = spark.createDataFrame(rows, SCHEMA), lambda: sum(x.totalShuffleWrite() for x in executors())
+    store = spark.sparkContext._jsc.sc().statusStore()
+    executors = lambda: [store.executorList(False).apply(i) for i in range(store.executorList(False).size())]
+    before, limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(limit, "-1")
+    try:
+        at = written()
+        got = {x.doc_id: x.class_id for x in N.near_duplicates(spark, docs).collect()}
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        sent = (written() - at) / len(rows)
+    finally:
+        spark.conf.set(limit, before)
+    assert all(got[5000 + k] == k for k in range(40)) and all(got[6000 + k] == k for k in range(100, 140)) and len(set(got.values())) == 4000
+    print("bytes shuffled a text:", round(sent))
+    assert sent < 800
