@@ -6,6 +6,8 @@ batches, so a Python worker never holds more than one batch besides its own boun
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import zlib
 
 import numpy as np
@@ -67,6 +69,28 @@ def map_rows(df: DataFrame, fn, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+_HELD: dict = {}
+
+
+def held(key, make=bool):
+    """What this worker process holds for ``key``, made on first use. Workers serve one operator after the other, and Spark deals tasks to all of
+    an executor's workers in turn, so each holds one such thing: that of another operator goes first, and its memory goes back to the system."""
+    if key not in _HELD:
+        _HELD.clear()
+        release()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def release() -> None:
+    """Give freed memory back: the allocators keep it otherwise, for as long as the worker lives."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
 def lower_ascii(raw: bytes) -> bytes:
     return raw.lower()
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import materialise, slices
+from ._common import held, materialise, slices
 
 K1, B, BLOCK, ITEMS, THRESHOLD, SLACK, OVERLAP, GRAM = 1.2, 0.75, 16, 20_000, 0.5, 0.2, 0.5, 3
 _WORD = re.compile(r"\w+")
@@ -267,6 +267,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, size: i
         sent = spark.sparkContext.broadcast(index)
 
         def run(batches, sent=sent):
+            held("decontamination")
             for batch in slices(batches):
                 hits = sent.value.hits(batch.column(1).to_pylist())
                 found = [(i, *h) for i, hs in zip(batch.column(0).to_pylist(), hits) for h in hs]
@@ -285,6 +286,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, size:
         sent = spark.sparkContext.broadcast(index)
 
         def run(batches, sent=sent):
+            held("decontamination")
             for batch in slices(batches):
                 if batch.num_rows:
                     yield batch.filter(pa.array([not h for h in sent.value.hits(batch.column(at).to_pylist())], pa.bool_()))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WordMemory, crc_mod, slices
+from ._common import WordMemory, crc_mod, held, slices
 
 SAMPLE, LONGEST = 3000, 4
 
@@ -156,6 +156,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = _sampled(labelled, sample).select("text", "lang").distinct()
 
     def count(batches):
+        held("language fit")
         words, grams, seen = defaultdict(Counter), defaultdict(Counter), Counter()
         for batch in slices(batches):
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -183,6 +184,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
 def _predictor(model):
     """A function of texts that keeps one memory of words a worker task."""
+    held("language")
     memory = model.memory()
     return lambda texts: [model.predict(t, memory) for t in texts]
 

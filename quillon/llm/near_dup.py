@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import deal_join, even_join, frequent, hot_limit, materialise, mix64, prefix_hash, raw_texts, slices
+from ._common import deal_join, even_join, frequent, held, hot_limit, materialise, mix64, prefix_hash, raw_texts, slices
 
 SHINGLE, BANDS, ROWS, LEAST = 5, 25, 5, 0.8
 COMPONENTS = BANDS * ROWS
@@ -264,6 +264,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """(row, doc_id, digest, bands) of every document."""
 
     def run(batches):
+        held("near-dedup")
         for batch in slices(batches):
             raws = raw_texts(batch)
             digests, bands = [hashlib.md5(raw).digest() for raw in raws], []
@@ -637,12 +638,13 @@ def _classes(spark: SparkSession, docs: DataFrame, texts: DataFrame, count: int)
 
 
 def _each_once(spark: SparkSession, signed: DataFrame, texts: DataFrame) -> DataFrame:
-    """(digest, least, bands) of every text. The bands of copied texts alone are shuffled; those of others are read where they are."""
+    """(digest, least, bands) of every text. The bands of copied texts alone are shuffled; those of others are read where they are. Written, so that no task of
+    what follows needs a second Python worker for the filter: an executor keeps as many as its tasks ever needed at once."""
     copied, key = Filter(spark, texts.filter("copies > 1").select(F.xxhash64("digest").alias("key"))), F.xxhash64("digest")
     rows = signed.select("digest", F.col("doc_id").alias("least"), "bands")
     least = F.min(F.struct(F.col("least").isNull().alias("null"), "least"))["least"].alias("least")
     once = copied.rows(rows, key).groupBy("digest").agg(least, F.first("bands").alias("bands"))
-    return copied.rows(rows, key, wanted=False).unionByName(materialise(spark, once, "copied"))
+    return materialise(spark, copied.rows(rows, key, wanted=False).unionByName(once), "once")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:

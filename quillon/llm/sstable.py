@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import raw_texts, scratch_uri, slices, unsigned_crc
+from ._common import held, raw_texts, scratch_uri, slices, unsigned_crc
 
 MAGIC = b"QUILSST1"
 FOOTER = struct.Struct("<QQQQQQBI")
@@ -162,14 +162,9 @@ class WordEncoder:
         return out
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder_of(path: str) -> WordEncoder:
     """The worker process's encoder, whose memory of words serves all of its tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    return held(("encoder", path), lambda: WordEncoder(path))
 
 
 def encode_key(doc_id: int | None) -> bytes:

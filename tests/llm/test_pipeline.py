@@ -34,3 +34,37 @@ def test_registered_once(name):
     import __spark_entry__
 
     assert len([q for q in __spark_entry__.queries() if q.startswith(f"{name}_")]) == 1
+
+
+def test_a_worker_keeps_no_memory_of_a_stage_before(spark, small):
+    """Packing's encoder and its words are gone from every worker when near-dedup has run."""
+    import gc
+
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from quillon.llm._common import documents
+    from quillon.llm.near_dup import signatures
+    from quillon.llm.packing import token_lengths
+
+    def left(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(type(x).__name__ == "WordEncoder" for x in gc.get_objects())])], ["n"])
+
+    docs = documents(spark, small).repartition(16)
+    encoders = lambda: spark.range(0, 16, 1, 16).mapInArrow(left, "n long").agg(F.sum("n")).first()[0]
+    token_lengths(docs).write.format("noop").mode("overwrite").save()
+    assert encoders() > 0
+    signatures(docs).write.format("noop").mode("overwrite").save()
+    assert encoders() == 0
+
+
+def test_texts_of_near_dedup_need_one_worker_a_task(spark):
+    from quillon.llm import near_dup as N
+    from quillon.llm._common import materialise
+
+    docs = spark.createDataFrame([(i, f"text {i // 2} of some few words") for i in range(8)], "doc_id long, text string")
+    signed = materialise(spark, N.signatures(docs), "signatures")
+    texts = signed.groupBy("digest").count().withColumnRenamed("count", "copies")
+    once = N._each_once(spark, signed, texts)
+    assert once.count() == 4 and "MapInArrow" not in once._jdf.queryExecution().executedPlan().toString()
