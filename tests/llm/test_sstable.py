@@ -99,3 +99,15 @@ def test_a_word_met_with_and_without_marks_is_merged_once():
     got = encoder.encode_batch([t.encode() for t in texts])
     assert got == [encoder._whole(t) for t in texts]
     assert sorted(asked) == [b"quent", b"zorplim"]
+
+
+def test_marks_and_digits_are_pieces_and_frequent_words_stay():
+    """Letters before any marks or digits go to the merges alone, and a word that is asked for again and again is not forgotten."""
+    encoder = S.WordEncoder(S.default_tokenizer(), limit=40)
+    asked, letters, whole = [], encoder._letters, encoder._whole
+    encoder._letters = lambda word: asked.append(word) or letters(word)
+    texts = [f"Zorplim*** zorplim$$$ zorplim-{i} q{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}x<" for i in range(100)]
+    got = encoder.encode_batch([t.encode() for t in texts])
+    assert got == [whole(t) for t in texts]
+    assert asked.count(b"zorplim") == 1 and len(asked) == 101
+    assert len(encoder.known) + len(encoder.known.before) <= 40
